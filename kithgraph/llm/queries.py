@@ -10,13 +10,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .dedup_exact import exact_groups
 
     return exact_groups(table(spark, folder, "documents")).drop("locator")
 
 
-QUERIES = {f.__name__: f for f in (op10_exact_dedup,)}
+def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    return mix_plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op4_pattern_packing, op8_mixing, op9_token_counts, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
