@@ -22,6 +22,28 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents")).drop("locator")
 
 
+def fold(modulus: int):
+    """crc32 of the identifier as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    train = docs.select("doc_id", "text").filter(fold(3) != 1).join(labels.select("doc_id", "toxic").filter("toxic is not null"), "doc_id")
+    out = score(docs, fit(train))
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    from .language import fit, predict
+
+    docs = table(spark, folder, "documents")
+    out = predict(docs, fit(docs.filter(fold(4) != 2)))
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack
 
@@ -40,7 +62,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pattern_packing, op8_mixing, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_pattern_packing, op5_language, op8_mixing, op9_token_counts, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
