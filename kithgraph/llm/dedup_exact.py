@@ -32,7 +32,7 @@ def sha256(text: Column) -> Column:
 
 def stream_best(spark: SparkSession, feed_path: str, schema, files_per_trigger: int) -> DataFrame:
     """Runs the stream over the feed to its end; one row per key: group_size and the best row's identity."""
-    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -89,7 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         feed = stored(told.select("doc_id", "n_points", "digest", key.alias("key"), F.monotonically_increasing_id().alias("locator")), "feed")
     unstore(clash)
     best = stream_best(spark, feed._kg_path, feed.schema, files_per_trigger)
-    out = feed.join(best, "key")
+    # a table of its own: the join's sides are then plain shuffles, of which a hot key's can be split
+    out = feed.join(stored(best.select("key", "group_size", "best"), "best"), "key")
     return out.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
