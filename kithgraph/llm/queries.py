@@ -22,6 +22,18 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents")).drop("locator")
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from .html_main import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
+def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def fold(modulus: int):
     """crc32 of the identifier as text, modulo ``modulus``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -62,9 +74,22 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_pattern_packing, op5_language, op8_mixing, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op4_pattern_packing, op5_language, op7_near_vectors, op8_mixing, op9_token_counts, op10_exact_dedup)}
 
 SQL = {
+    "op7_near_vectors": """
+        with recursive v as (
+            select vec_id, label, embedding::double[] e from embeddings
+            where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+              and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+              where list_cosine_similarity(a.e, b.e) >= 0.98),
+        r as (select vec_id i, vec_id j from embeddings union select r.i, l.b from r join l on r.j = l.a),
+        c as (select i, min(j) c from r group by i),
+        n as (select a, count(*) n from l group by a)
+        select vec_id, cast(coalesce(n, 0) as bigint) n_links, c component_id, vec_id = c kept
+        from embeddings left join n on a = vec_id join c on i = vec_id
+    """,
     "op10_exact_dedup": r"""
         with t as (select doc_id, length(coalesce(text, '')) n,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents),
