@@ -28,6 +28,12 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, folder, "documents"))
+
+
 def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from .vectors import near_vectors
 
@@ -74,7 +80,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op4_pattern_packing, op5_language, op7_near_vectors, op8_mixing, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op4_pattern_packing, op5_language, op6_ngram_jaccard, op7_near_vectors, op8_mixing, op9_token_counts, op10_exact_dedup)}
 
 SQL = {
     "op7_near_vectors": """
