@@ -28,6 +28,12 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
 
+def op3_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    from .chat import rotate
+
+    return rotate(table(spark, folder, "conversations"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     from .jaccard import jaccard_groups
 
@@ -80,9 +86,24 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op4_pattern_packing, op5_language, op6_ngram_jaccard, op7_near_vectors, op8_mixing, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_perspectives, op4_pattern_packing, op5_language, op6_ngram_jaccard, op7_near_vectors, op8_mixing, op9_token_counts, op10_exact_dedup)}
 
 SQL = {
+    "op3_perspectives": r"""
+        with t as (select conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') text from conversations),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls last, speaker, text) - 1 as position from t),
+        p as (select distinct conv_id c, speaker perspective from t where speaker <> 'system'),
+        r as (select conv_id, perspective, position, turn, speaker, text,
+                     case when speaker = 'system' then speaker when speaker = perspective then 'assistant' else 'user:' || speaker end as label
+              from o join p on conv_id is not distinct from c),
+        s as (select *, '<|' || label || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered from r),
+        e as (select *, sum(length(rendered)) over (partition by conv_id, perspective order by position) as ends from s)
+        select conv_id, perspective, cast(position as bigint) as position, turn, speaker, label, rendered,
+               cast(ends - length(rendered) as bigint) as start, cast(ends as bigint) as "end",
+               cast(case when speaker = perspective then ends - length(text) - 8 end as bigint) as mask_start,
+               cast(case when speaker = perspective then ends end as bigint) as mask_end, speaker = perspective as target
+        from e
+    """,
     "op7_near_vectors": """
         with recursive v as (
             select vec_id, label, embedding::double[] e from embeddings
