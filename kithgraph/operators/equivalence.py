@@ -224,5 +224,5 @@ def consensus_clustering(clusterings: DataFrame | Sequence[Sequence[int]], thres
     same = flat.join(other, ["part", "label"]).filter("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("c"))
     links = same.filter(F.col("c") >= threshold * parts).select(F.col("first").alias("a"), F.col("second").alias("b"))
     groups = components(links)
-    got = member.join(groups, member.first == groups.node, "left").select(F.lit(0).cast("long").alias("gid"), "vid", F.coalesce("component", "first").alias("label"))
+    got = member.join(groups, F.col("first") == F.col("node"), "left").select(F.lit(0).cast("long").alias("gid"), "vid", F.coalesce("component", "first").alias("label"))
     return first_rank(got).drop("gid")
