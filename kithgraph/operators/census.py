@@ -144,7 +144,7 @@ def transitivity(net: Net, type: str = "global", cmode: str = "total", measure:
     check_option("type", type, ("global", "local", "average"))
     check_option("cmode", cmode, ("total", "weak"))
     if type == "global":
-        return gtrans(net, measure)
+        return gtrans(net.replace(mask=None), measure)
     got = _local_directed(net) if net.directed and cmode == "total" else _local_weak(net)
     if type == "local":
         return net.out(got)
