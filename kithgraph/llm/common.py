@@ -1,15 +1,12 @@
-"""Helpers shared by the text operators: intermediate tables, connected components, text packing into numpy."""
+"""Helpers shared by the text operators: Arrow batches and texts as numpy arrays."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions.tables import components, delete_path, forget_path, fresh_path, shared_dir, stored, unstore  # noqa: F401
 
 #: Python's bytes class for the six ASCII white-space characters.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -17,47 +14,6 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kithgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/kg-{tag}-{uuid.uuid4().hex}"
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kg_path = path
-    atexit.register(_forget, spark, path)
-    return out
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        delete_path(spark, path)
-    except Exception:  # the session is gone
-        pass
-
-
-def unstore(df: DataFrame) -> None:
-    """Deletes a table made by ``stored`` that no later plan reads."""
-    delete_path(df.sparkSession, df._kg_path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,6 +21,11 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of ``rows`` rows in the jobs that start from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,39 +38,6 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds; each round's edges are written to the shared folder,
-    so no round's lineage grows and no links reach the driver. Both stars replace an edge by an edge to
-    the neighbourhood's minimum, which ``min`` pre-aggregates, so a node with very many links stays cheap.
-    Null ends and self links are ignored; an empty table gives an empty result.
-    """
-    cur = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
-    for _ in range(most_rounds):
-        if cur.isEmpty():
-            break
-        both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: every larger neighbour of v is linked to the smallest of v and its neighbours
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
-        # small star: every smaller-or-equal neighbour of v is linked to the smallest
-        low = large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))
-        joined = large.join(low, large.b == low.v)
-        small = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(low.select(F.col("m").alias("x"), F.col("v").alias("y")))
-        small = small.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        new = stored(small, "cc")
-        same = new.count() == cur.count() and new.exceptAll(cur).isEmpty()
-        unstore(cur)
-        cur = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not converge")
-    out = cur.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-    return out.unionAll(cur.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-
-
 # ---------------------------------------------------------------- numpy over Arrow string columns
 
 

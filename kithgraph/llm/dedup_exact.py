@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _forget, fresh_path, free_name, stored, unstore
+from .common import forget_path, free_name, fresh_path, stored, unstore
 
 import atexit
 
@@ -52,8 +52,8 @@ def stream_best(spark: SparkSession, feed_path: str, schema, files_per_trigger:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    _forget(spark, state)
-    atexit.register(_forget, spark, sink)
+    forget_path(spark, state)
+    atexit.register(forget_path, spark, sink)
     fields = "key string, group_size long, best struct<less:int,no_id:boolean,doc_id:long,locator:long>, batch int"
     try:
         updates = spark.read.schema(fields).option("recursiveFileLookup", "true").parquet(sink)

@@ -12,6 +12,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,34 +278,35 @@ def host_of(url: str | None) -> str:
     return host.removeprefix("www.")
 
 
-def page_key(id_col: str, url_col: str, html_col: str):
-    """Tells rows apart by all that extraction reads; rows that repeat it have the same result."""
-    return F.sha2(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.coalesce(F.col(url_col), F.lit("?")), F.coalesce(F.col(html_col), F.lit(""))), 256)
+def row_hash(url: str | None, html: str | None) -> int:
+    """Tells rows of one identifier apart by all that extraction reads; rows that repeat it have the same result."""
+    h = xxhash.xxh64_intdigest(f"{url}\0{html}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """Pass 1 over (key, url, html): key, host, and the hash of every subtree that a template could consist of, with
-    the hash of the page's content. Pages without a host have no site, and so no row."""
+    """Pass 1 over (page_id, url, html): a row a page with its host, the hashes of the subtrees that a template could consist
+    of and the hash of its content. Pages without a host have no site, and so no row."""
     small_batches(pages.sparkSession, 256)
 
     def run(batches):
         for batch in batches:
-            keys, hosts, trees, contents = [], [], [], []
-            for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at, hashes, hosts, trees, contents = [], [], [], [], []
+            for i, (url, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 host = host_of(url)
                 if not html or not host:
                     continue
                 page = Page(html)
                 able, content = page.candidates()
-                for h in {page.hash[e] for e in able}:
-                    keys.append(key)
-                    hosts.append(host)
-                    trees.append(h)
-                    contents.append(content)
-            arrays = [pa.array(keys, pa.string()), pa.array(hosts, pa.string()), pa.array(trees, pa.uint64()).view(pa.int64()), pa.array(contents, pa.uint64()).view(pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "host", "tree", "content"])
+                at.append(i)
+                hashes.append(row_hash(url, html))
+                hosts.append(host)
+                trees.append(sorted({page.hash[e] - (1 << 63) for e in able}))
+                contents.append(content - (1 << 63))
+            arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(hashes, pa.int64()), pa.array(hosts, pa.string()), pa.array(trees, pa.list_(pa.int64())), pa.array(contents, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "row", "host", "trees", "content"])
 
-    return pages.mapInArrow(run, "key string, host string, tree long, content long")
+    return pages.mapInArrow(run, "page_id long, row long, host string, trees array<long>, content long")
 
 
 def site_templates(found: DataFrame, many: int = MANY_PAGES) -> DataFrame:
@@ -312,7 +314,8 @@ def site_templates(found: DataFrame, many: int = MANY_PAGES) -> DataFrame:
 
     Copies of one page count once, so an article that a site repeats is no template. Counts are pre-aggregated.
     """
-    return found.groupBy("host", "tree", "content").count().groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many).select("host", "tree")
+    held = found.select("host", F.explode("trees").alias("tree"), "content")
+    return held.groupBy("host", "tree", "content").count().groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many).select("host", "tree")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = MANY_PAGES) -> DataFrame:
@@ -324,16 +327,29 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     is one space, a line break element too; blocks are joined by one line feed in page order.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.withColumn("key", page_key("page_id", "url", "html"))
-    found = stored(subtrees(rows.select("key", "url", "html")), "subtrees")
-    held = found.join(site_templates(found, many), ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("trees"))
-    joined = rows.join(held, "key", "left").select("page_id", "url", "html", "trees")
+    found = stored(subtrees(rows), "subtrees")
+    seen = found.select("page_id", "row", "host", F.explode("trees").alias("tree"))
+    held = seen.join(site_templates(found, many), ["host", "tree"]).groupBy("page_id", "row").agg(F.collect_set("tree").alias("trees"))
+    held = held.select(F.col("page_id").alias("p"), F.col("row").alias("r"), "trees")
+
+    def shrink(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            url, html = (batch.column(i).to_pylist() for i in (1, 2))
+            blob = [None if h is None else squeeze(h.encode("utf-8", "surrogatepass")) for h in html]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row_hash(u, h) for u, h in zip(url, html, strict=True)], pa.int64()), pa.array(blob, pa.binary())], ["page_id", "url", "row", "blob"])
+
+    # pages travel to their templates compressed
+    packed = rows.mapInArrow(shrink, "page_id long, url string, row long, blob binary")
+    joined = packed.join(held, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("row") == F.col("r")), "left").select("page_id", "url", "blob", "trees")
 
     def run(batches):
+        grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = []
-            for html, trees in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(Page(html).content({t & 0xFFFFFFFFFFFFFFFF for t in trees or ()}) if html else "")
+            for blob, trees in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                html = grow(blob).decode("utf-8", "surrogatepass") if blob else ""
+                texts.append(Page(html).content({t + (1 << 63) for t in trees or ()}) if html else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
