@@ -29,7 +29,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     ``start`` and ``end`` are the code points that the turn takes in its perspective's rendering: the rendered texts of a
     perspective in order of ``position`` make it whole. ``target`` tells that the perspective's participant speaks;
-    then [mask_start, mask_end) is its text with the end mark, which is trained on; else both are null.
+    then [mask_start, mask_end) is its text with the end mark, which is trained on; else both are -1.
 
     Turns are in order of ``turn`` (null last), then speaker, then text; rows that repeat all of these are turns of their
     own. A null speaker is named ``unknown``, a null text is empty; a null conversation is one conversation. A
@@ -80,7 +80,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.concat(F.lit(HEAD), F.col("label"), F.lit(BETWEEN), F.col("text"), F.lit(END)).alias("rendered"),
         (end - F.col("length")).alias("start"),
         end.alias("end"),
-        F.when(target, mask).alias("mask_start"),
-        F.when(target, end).alias("mask_end"),
+        F.when(target, mask).otherwise(-1).alias("mask_start"),
+        F.when(target, end).otherwise(-1).alias("mask_end"),
         target.alias("target"),
     )

@@ -100,8 +100,8 @@ SQL = {
         e as (select *, sum(length(rendered)) over (partition by conv_id, perspective order by position) as ends from s)
         select conv_id, perspective, cast(position as bigint) as position, turn, speaker, label, rendered,
                cast(ends - length(rendered) as bigint) as start, cast(ends as bigint) as "end",
-               cast(case when speaker = perspective then ends - length(text) - 8 end as bigint) as mask_start,
-               cast(case when speaker = perspective then ends end as bigint) as mask_end, speaker = perspective as target
+               cast(case when speaker = perspective then ends - length(text) - 8 else -1 end as bigint) as mask_start,
+               cast(case when speaker = perspective then ends else -1 end as bigint) as mask_end, speaker = perspective as target
         from e
     """,
     "op7_near_vectors": """
