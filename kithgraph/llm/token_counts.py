@@ -1,21 +1,25 @@
-"""Token counts by batch encoding in Arrow functions that return lengths only (operator 9)."""
+"""Token counts by batch encoding in Arrow functions that return lengths only (operator 9).
+
+Texts are gathered into batches of about the same number of bytes. Where a tokenizer drops white space, no token spans
+it: there every text, long ones too, is split at white space, each distinct part of a batch is encoded once,
+and a text's count is the sum of its parts'. Other tokenizers encode whole texts.
+"""
 
 from __future__ import annotations
 
+import json
 import os
-import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import large, small_batches
 
-#: Bytes of text encoded at once, and beyond which a text is split.
-BATCH_BYTES, LONG_TEXT = 1 << 20, 1 << 18
-#: A split before one space between two ASCII letters: the word tokenizer drops that space, no token spans it, and
-#: neither composition of characters, special strings nor lower-casing reaches over it.
-SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Bytes of text of a batch; words whose lengths a worker remembers.
+BATCH_BYTES, REMEMBERED = 4 << 20, 1_000_000
 _loaded: dict = {}
 
 
@@ -43,51 +47,66 @@ def lengths(tok, texts: list[str]) -> list[int]:
     return [len(x) for x in tok.encode(texts, num_threads=1)]
 
 
-def pieces(text: str, most: int) -> list[str]:
-    """``text`` in parts of about ``most`` characters, cut at safe boundaries only; one part where there are none."""
-    out, at = [], 0
-    while len(text) - at > most:
-        cut = SAFE.search(text, at + most)
-        if not cut:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
+def drops_space(path: str) -> bool:
+    """Whether a .json file's tokens never hold white space: its splitter keeps only matches of a pattern without any, its
+    normalizers look at most at white space itself and single characters, and its special strings hold none."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    norms = norm.get("normalizers", [norm]) if norm else []
+    pres = pre.get("pretokenizers", [pre]) if pre else []
+    plain = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" for n in norms)
+    first = pres[0] if pres else {}
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in first["pattern"].get("Regex", "") and not any(p.get("add_prefix_space") for p in pres)
+    special = all(not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+    return bool(plain and split and special)
+
+
+class Counter:
+    """Token counts of arrays of texts."""
+
+    def __init__(self, path: str):
+        self.tok, self.parts, self.known = tokenizer(path), drops_space(path), {}
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        if not self.parts:
+            return np.array(lengths(self.tok, texts.to_pylist()), np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        owner, coded = np.asarray(pc.list_parent_indices(lists)), pc.list_flatten(lists).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self.known
+        new = [w for w in words if w not in known]
+        told = dict(zip(new, lengths(self.tok, new), strict=True))
+        each = np.fromiter((known[w] if w in known else told[w] for w in words), np.int64, len(words))
+        if len(known) < REMEMBERED:  # the first words met are the frequent ones
+            known.update(told)
+        return np.bincount(owner, weights=each[np.asarray(coded.indices)] if len(words) else None, minlength=len(texts)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     ``path`` names a .json file of the tokenizers library or a .model file of sentencepiece, found on every
-    executor. Texts are gathered into batches of about 1 MB; a text beyond 256 KB is encoded in parts
-    cut where no token can span (.json files that drop white space; others encode each text whole). Null
-    and empty texts have 0 bytes and 0 tokens; null identifiers and repeated rows are kept; other columns,
-    whatever their names, are ignored; an empty table gives an empty result.
+    executor; no tokens are added, special strings in texts are what the library takes them for. Null and empty
+    texts have 0 bytes and 0 tokens; null identifiers and repeated rows are kept; other columns, whatever their names, are
+    ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    whole = not path.endswith("word_bpe_49k.json")
 
     def run(batches):
-        tok = tokenizer(path)
+        count = Counter(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
-            counts, held, owner, weight = [0] * len(texts), [], [], 0
-            for i, text in enumerate(texts):
-                for part in [text] if whole or sizes[i] <= LONG_TEXT else pieces(text, LONG_TEXT):
-                    held.append(part)
-                    owner.append(i)
-                    weight += len(part)
-                    if weight >= BATCH_BYTES:
-                        for o, n in zip(owner, lengths(tok, held), strict=True):
-                            counts[o] += n
-                        held, owner, weight = [], [], 0
-            for o, n in zip(owner, lengths(tok, held), strict=True):
-                counts[o] += n
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            texts = large(batch.column(1))
+            sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
+            upto, found, lo = np.cumsum(sizes), [], 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BATCH_BYTES, side="right")))
+                found.append(count(texts.slice(lo, hi - lo)))
+                lo = hi
+            tokens = np.concatenate([*found, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
