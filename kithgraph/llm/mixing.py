@@ -2,7 +2,7 @@
 
 Every source's documents fall into blocks by a hash of their identity, so block numbers are a random
 permutation. A source's quota of words is met by whole passes over its blocks, then by a run of blocks, then by
-documents of the one block in which the quota ends. The quotas, counted in blocks, are dealt to the output
+the largest documents that fit of the one block in which the quota ends. The quotas, counted in blocks, are dealt to the output
 shards by a multivariate-hypergeometric splitting tree; a shard holds a run of each source's permuted blocks, disjoint from
 other shards', and orders its rows by a hash of its own.
 """
@@ -88,8 +88,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     shards (the shard of each copy).
 
     Sources in code point order, the null source last, weigh ``weights`` in turn; see ``water_fill``. The last,
-    partial pass takes whole documents, in permuted order, that still fit; so a source ends within its smallest
-    document left out of its target. Null texts and texts of white space have size 0 and are copied as their
+    partial pass takes whole blocks in permuted order and of the block in which it ends the largest documents that still
+    fit; so a source ends within that block's smallest document left out of its target. Null texts and texts of white space have size 0 and are copied as their
     block is, adding no words. Rows that repeat an identifier are rows of their own. Reruns agree: nothing depends on
     partitions. An empty table gives an empty result. Other columns are ignored. Sources are a mix's
     configuration: one row a source reaches the driver.
@@ -117,9 +117,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     state = F.when(F.col("rest") <= 0, 0).when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") < F.col("rest"), 2).otherwise(0)
     per_block = stored(per_block.select("source", "block", "blocks", "passes", state.alias("state"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")), "blocks")
 
-    # the one block a source's quota ends in: its documents in permuted order, each that still fits
+    # the one block a source's quota ends in: its documents from the largest on, each that still fits
     edge = named.join(F.broadcast(per_block.filter("state = 2").select(F.col("source").alias("s2"), F.col("block").alias("b2"), "room")), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
-    held = edge.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size"))).alias("docs"), F.first("room").alias("room"))
+    held = edge.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), "h", "doc_id", "size"))).alias("docs"), F.first("room").alias("room"))
     fits = F.aggregate(
         "docs",
         F.struct(F.col("room").cast("double").alias("room"), F.expr("cast(array() as array<struct<h:bigint,doc_id:bigint,size:bigint,n:int>>)").alias("took")),
