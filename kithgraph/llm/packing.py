@@ -157,7 +157,7 @@ def fit_repeats(pats: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.n
 
 
 #: Shares of the fitted repeats that are tried; what a share leaves over is packed best-fit.
-SHARES = (1.0, 0.97, 0.9, 0.8, 0.65)
+SHARES = (1.0, 0.97, 0.9, 0.8, 0.65, 0.5, 0.3, 0.2)
 
 
 def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
