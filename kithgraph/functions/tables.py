@@ -51,18 +51,28 @@ def unstore(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._kg_path)
 
 
+#: Links that one task of a round of ``components`` handles.
+LINKS_PER_TASK = 500_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are written to the shared folder,
     so no round's lineage grows and no links reach the driver. Both stars replace an edge by an edge to
     the neighbourhood's minimum, which ``min`` pre-aggregates, so a node with very many links stays cheap.
+    Up to LINKS_PER_TASK links a round's joins and aggregations run in one partition and so need no shuffle.
     Nodes are of any type with an order. Null ends and self links are ignored; an empty table gives an empty result.
     """
     cur = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
+    number = cur.count()
     for _ in range(most_rounds):
-        if cur.isEmpty():
+        if not number:
             break
+        if number <= LINKS_PER_TASK:
+            path = cur._kg_path
+            cur = cur.coalesce(1)
+            cur._kg_path = path
         both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of v is linked to the smallest of v and its neighbours
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -73,7 +83,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(low.select(F.col("m").alias("x"), F.col("v").alias("y")))
         small = small.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         new = stored(small, "cc")
-        same = new.count() == cur.count() and new.exceptAll(cur).isEmpty()
+        before, number = number, new.count()
+        # a star's edges are distinct: equal numbers and none that is new
+        same = number == before and (new.coalesce(1) if number <= LINKS_PER_TASK else new).join(cur, ["a", "b"], "left_anti").isEmpty()
         unstore(cur)
         cur = new
         if same:
