@@ -1,0 +1 @@
+"""Expressions, stored tables and components that operators share."""

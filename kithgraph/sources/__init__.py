@@ -1,0 +1 @@
+"""Where networks come from and go to: files and published data."""
