@@ -25,6 +25,8 @@ CHUNK = 1 << 20
 THRESHOLD = 0.7
 THRESHOLD_LOGIT = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 NEAR = 0.3
+#: Parts of the fitted texts, each of which is held out once to place the operating point.
+FOLDS = 5
 
 
 def grams(points: np.ndarray, n: int) -> np.ndarray:
@@ -224,9 +226,9 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most
     size = len(model.keys)
     weights, _ = regression(text, feature, model.weights, label, size)
     # the operating point comes from margins of texts that the weights weren't fitted on
-    fold = np.array([zlib.crc32(r["features"]) % 2 for r in found])
+    fold = np.array([zlib.crc32(r["features"]) % FOLDS for r in found])
     margin = np.zeros(len(label))
-    for part in (0, 1):
+    for part in range(FOLDS):
         use = fold[text] != part
         place = np.cumsum(fold != part) - 1
         w, _ = regression(place[text[use]], feature[use], model.weights, label[fold != part], size)
@@ -239,15 +241,16 @@ def boundary(margin: np.ndarray, label: np.ndarray) -> float:
     """The margin that shall score THRESHOLD: the share NEAR of the way from where other texts end to where toxic ones are.
 
     Other texts end at their 99.9th percentile. Toxic texts' 10th percentile marks where they are; if that is not
-    above, classes overlap, and the margin of least balanced error is taken.
+    above, classes overlap, and the margin of the best F1 is taken.
     """
-    neg, pos = margin[label == 0], margin[label == 1]
+    neg, pos = np.sort(margin[label == 0]), np.sort(margin[label == 1])
     lo, hi = np.quantile(neg, 0.999), np.quantile(pos, 0.1)
     if hi > lo:
         return float(lo + NEAR * (hi - lo))
-    cuts = np.unique(margin)
-    error = np.searchsorted(np.sort(pos), cuts) / len(pos) + 1 - np.searchsorted(np.sort(neg), cuts) / len(neg)
-    return float(cuts[error.argmin()])
+    cuts = np.unique(pos)
+    hit = len(pos) - np.searchsorted(pos, cuts)
+    false = len(neg) - np.searchsorted(neg, cuts)
+    return float(cuts[(2 * hit / (hit + false + len(pos))).argmax()])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
