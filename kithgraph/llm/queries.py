@@ -104,6 +104,18 @@ SQL = {
                cast(case when speaker = perspective then ends else -1 end as bigint) as mask_end, speaker = perspective as target
         from e
     """,
+    "op6_ngram_jaccard": r"""
+        with recursive t as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from t where len(w) > 0)),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+        e as (select x, y from l union all select y, x from l),
+        r as (select doc_id i, doc_id j from documents union select r.i, e.y from r join e on r.j = e.x),
+        c as (select i, min(j) c from r group by i)
+        select documents.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, c component_id from documents left join n on n.doc_id = documents.doc_id join c on i = documents.doc_id
+    """,
     "op7_near_vectors": """
         with recursive v as (
             select vec_id, label, embedding::double[] e from embeddings
