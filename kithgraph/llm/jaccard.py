@@ -4,10 +4,11 @@
    the order: rare first. Any order is a right one, so counts that share a cell cost time only.
 2. Each document leaves the digest and size of its set, a histogram of its hashes and its prefix: the first
    n - ceil(t * n) + 1 shingles in that order. Two sets that reach the threshold t share one of their prefixes.
-3. Prefix shingles are sorted together; those of one document alone go. Equal sets are one node from here on.
-4. Short lists of a shingle give all their pairs. Long ones give, for some rounds, a pair of each node with a
-   leader of its list: groups of near copies grow together without their pairs. Last, every pair
-   of a list that is still in different groups is made, between the list's largest group and the others and among these.
+3. Equal sets are one node. The nodes' prefix shingles are sorted together and streamed: a shingle of one node alone
+   goes, a short list of nodes gives all its pairs, a long list is kept.
+4. Long lists give, for some rounds, a pair of each node with a leader of its list: groups of near copies grow
+   together without their pairs. Last, every pair of a list that is still in different groups is made,
+   between the list's largest group and the others and among these.
 5. Pairs pass the length and positional filters as they are made, the suffix filter (histograms bound the overlap), and
    are verified once with both sets.
 """
@@ -20,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, large, mix64, small_batches, stored, tasks, unstore, utf8
+from .common import batch_rows, components, large, mix64, stored, tasks, unstore, utf8
 
 WORDS, PERCENT = 5, 80
-#: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, rounds of leaders, histogram cells.
-BITS, SLICE, SHORT, ROUNDS, HISTOGRAM = 22, 1 << 16, 16, 2, 64
+#: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, rounds of leaders, leaders of a
+#: list and span of sizes in a round, histogram cells.
+BITS, SLICE, SHORT, ROUNDS, LEADERS, HISTOGRAM = 21, 1 << 16, 16, 2, 8, 64
 #: Bytes of text handled at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 23
 
@@ -161,48 +163,85 @@ def signatures(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, digest binary, histogram binary, prefix array<long>")
 
 
-def shared_only(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows sorted by their first column within partitions, those whose value a neighbour has too. Streams: a value's rows
-    may be any number."""
+def postings(sorted_rows: DataFrame, percent: int) -> DataFrame:
+    """From (token, node, n, pos) sorted by token within partitions: pairs (a, b, na, nb) of the lists of at most SHORT nodes
+    that pass the length and positional filters, and the rows of longer lists (token, a, na, pos; b null).
+
+    A list is held only up to SHORT rows; from there on its rows stream through.
+    """
+    names = ["token", "a", "b", "na", "nb", "pos"]
+
+    def frame(token, a, b, na, nb, pos):
+        none = b is None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(token), pa.array(a), pa.nulls(len(a), pa.int64()) if none else pa.array(b), pa.array(na), pa.nulls(len(a), pa.int32()) if none else pa.array(nb), pa.array(pos)], names
+        )
 
     def run(batches):
-        held = None  # the last row, and whether it is known to be shared
+        held, streaming = None, None
         for batch in batches:
-            if not batch.num_rows:
+            cols = [np.asarray(c) for c in batch.columns]
+            if not len(cols[0]):
                 continue
-            table = pa.Table.from_batches([batch])
-            token = np.asarray(batch.column(0))
-            same = token[1:] == token[:-1]
-            keep = np.zeros(len(token), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
+            if streaming is not None:
+                k = int(np.searchsorted(cols[0] != streaming, True)) if cols[0][0] == streaming else 0
+                if k:
+                    yield frame(cols[0][:k], cols[1][:k], None, cols[2][:k], None, cols[3][:k])
+                    cols = [c[k:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                streaming = None
             if held is not None:
-                row, last, sure = held
-                joins = token[0] == last
-                if sure or joins:
-                    yield from row.to_batches()
-                keep[0] |= joins
-            held = (table.slice(len(token) - 1), token[-1], bool(keep[-1]))
-            out = table.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
-            yield from out.to_batches()
-        if held is not None and held[2]:
-            yield from held[0].to_batches()
-
-    return sorted_rows.mapInArrow(run, sorted_rows.schema)
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cut = np.append(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])), len(cols[0]))
+            last = cut[-2]
+            yield from lists(cols, cut[:-1])
+            held = [c[last:] for c in cols]
+            if len(held[0]) > SHORT:
+                yield frame(held[0], held[1], None, held[2], None, held[3])
+                held, streaming = None, held[0][0]
+        if held is not None:
+            yield from lists(held, np.array([0, len(held[0])]))
+
+    def lists(cols, cut):
+        """Whole lists, from each cut to the next."""
+        token, node, n, pos = cols
+        size = np.diff(cut)
+        big = np.flatnonzero(size > SHORT)
+        if len(big):
+            at = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in big])
+            yield frame(token[at], node[at], None, n[at], None, pos[at])
+        for length in np.unique(size[(size > 1) & (size <= SHORT)]):
+            first = cut[:-1][size == length]
+            i, j = np.triu_indices(int(length), 1)
+            x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
+            most = np.minimum(nx - pos[x], ny - pos[y])
+            good = (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * most >= percent * (nx + ny)) & (node[x] != node[y])
+            x, y = x[good], y[good]
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield frame(token[x], node[x], node[y], n[x], n[y], pos[x])
+
+    return sorted_rows.mapInArrow(run, "token long, a long, b long, na int, nb int, pos int")
 
 
 class Verifier:
     """Verifies pairs of nodes once each: suffix filter on histograms, then whole sets."""
 
     def __init__(self, nodes: DataFrame, docs: DataFrame, k: int, percent: int):
-        """``nodes``: node, doc_id, digest, histogram of the nodes that pairs may hold; ``docs``: doc_id, text."""
-        self.percent = percent
-        self.hist = nodes.select("node", "histogram")
-        self.sets = stored(self._sets(nodes, docs, k), "sets")
+        """``nodes``: node, doc_id, digest, histogram of all nodes; ``docs``: doc_id, text."""
+        self.nodes, self.docs, self.k, self.percent = nodes, docs, k, percent
         self.links: list[DataFrame] = []
 
-    def _sets(self, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """(digest, shingles) of ``nodes`` (node, doc_id, digest) and a few others, hashed from their texts again.
+
+        A set comes once a task that reads its text, so tables of many equal rows stay small; a repeated set repeats links only.
+        """
+        docs, k = self.docs, self.k
         spark = docs.sparkSession
+        batch_rows(spark, 256)
         # which documents are needed, as a filter of fixed size: others' texts needn't be hashed again
         h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
         words = nodes.filter("doc_id is not null").select(F.shiftright(h, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 32) as int))").alias("bit"))
@@ -212,7 +251,7 @@ class Verifier:
         sent = spark.sparkContext.broadcast(bits)
 
         def run(batches):
-            have = sent.value
+            have, seen = sent.value, set()
             for batch in batches:
                 cell = np.asarray(batch.column(2))
                 use = (have[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1 == 1
@@ -223,12 +262,14 @@ class Verifier:
                 digest, blob = [], []
                 for _, s in sets(part.column(1), k):
                     raw = s.tobytes()
-                    digest.append(xxhash.xxh3_128_digest(raw))
-                    blob.append(raw)
+                    key = xxhash.xxh3_128_digest(raw)
+                    if key not in seen:  # copies of a needed document: one a task
+                        seen.add(key)
+                        digest.append(key)
+                        blob.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], ["digest", "shingles"])
 
-        found = docs.select("doc_id", "text", h.alias("cell")).mapInArrow(run, "digest binary, shingles binary")
-        return found.join(nodes.select("node", "digest"), "digest").select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        return docs.select("doc_id", "text", h.alias("cell")).mapInArrow(run, "digest binary, shingles binary")
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the links among ``pairs`` (a, b, na, nb), which may repeat."""
@@ -237,18 +278,22 @@ class Verifier:
 
         def suffix(batches):
             for batch in batches:
-                ha, hb = (batch.column(i).to_pylist() for i in (4, 5))
+                ha, hb = (batch.column(i).to_pylist() for i in (6, 7))
                 keep = []
                 for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), ha, hb, strict=True):
                     most = min(na, nb) if x is None or y is None else int(np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum())
                     keep.append((100 + percent) * most >= percent * (na + nb))
-                out = pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                out = pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_())).select(["a", "b", "da", "db"])
                 yield from out.to_batches()
 
-        left = self.hist.select(F.col("node").alias("a"), F.col("histogram").alias("ha"))
-        right = self.hist.select(F.col("node").alias("b"), F.col("histogram").alias("hb"))
-        told = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(suffix, "a long, b long")
+        batch_rows(self.docs.sparkSession, 4096)
+        left = self.nodes.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("histogram").alias("ha"))
+        right = self.nodes.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("histogram").alias("hb"))
+        told = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db", "ha", "hb").mapInArrow(suffix, "a long, b long, da binary, db binary")
         told = stored(told, "pairs")
+        used = told.select(F.col("a").alias("used")).distinct().union(told.select("b").distinct()).distinct()
+        needed = stored(self.nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "doc_id", "digest"), "needed")
+        sets_ = stored(self._sets(needed), "sets")
 
         def whole(batches):
             for batch in batches:
@@ -262,11 +307,22 @@ class Verifier:
                 out = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 yield from out.to_batches()
 
-        left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        found = told.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(whole, "a long, b long")
-        self.links.append(stored(found, "links"))
-        unstore(told)
+        batch_rows(self.docs.sparkSession, 64)  # two whole sets a row
+        left, right = sets_.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), sets_.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
+
+        def linked(part: DataFrame) -> DataFrame:
+            return stored(part.join(right, "db").join(left, "da").select("a", "b", "sa", "sb").mapInArrow(whole, "a long, b long"), "links")
+
+        # first each node with one partner; then the pairs that these links leave apart
+        one = stored(told.groupBy("b").agg(F.min(F.struct("a", "da", "db")).alias("m")).select("m.a", "b", "m.da", "m.db"), "one")
+        self.links.append(linked(one))
+        group = self.groups()
+        apart = told.join(one.select("a", "b"), ["a", "b"], "left_anti")
+        for end in "ab":
+            apart = apart.join(group.select(F.col("node").alias(end), F.col("group").alias(f"g{end}")), end, "left").withColumn(f"g{end}", F.coalesce(f"g{end}", end))
+        self.links.append(linked(apart.filter("ga <> gb").select("a", "b", "da", "db")))
+        for gone in (told, needed, sets_, one):
+            unstore(gone)
 
     def groups(self) -> DataFrame:
         links = self.links[0]
@@ -294,27 +350,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group or candidate is capped: see the module's text for how long lists keep their links.
     """
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    batch_rows(spark, 256)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(count_sketch(slim.select("text"), k))
     rows = stored(signatures(slim, ranks, k, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
 
-    # postings of shingles that more than one row's prefix holds
-    posting = rows.select(F.posexplode("prefix").alias("pos", "token"), "row").select("token", "row", "pos")
-    shared = shared_only(posting.repartition(tasks(spark), "token").sortWithinPartitions("token"))
-    shared = stored(shared, "shared")
-
     # equal sets are one node, named by its smallest row
     classes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    member = stored(rows.filter("n > 0").select("row", "digest", "n", "doc_id", "histogram").join(classes, "digest").select("row", "node", "n"), "member")
-    lists = shared.join(member, "row").select("token", "node", "n", "pos").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    size = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = stored(lists.join(size, "token"), "lists")
-    unstore(shared)
+    member = stored(rows.filter("n > 0").select("row", "digest").join(classes, "digest").select("row", "node"), "member")
+    copies = stored(member.filter("row <> node").select("row"), "copies")
+    single = rows.join(copies, "row", "left_anti")
+    check = Verifier(single.select(F.col("row").alias("node"), "doc_id", "digest", "histogram"), slim, k, percent)
 
-    used = lists.select("node").distinct()
-    nodes = rows.join(used, rows["row"] == used.node).select("node", "doc_id", "digest", "histogram")
-    check = Verifier(stored(nodes, "nodes"), slim, k, percent)
+    posting = single.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("node"), "n").select("token", "node", "n", "pos")
+    batch_rows(spark, 8192)
+    found = stored(postings(posting.repartition(tasks(spark), "token").sortWithinPartitions("token"), percent), "postings")
+    first = found.filter("b is not null").select("a", "b", "na", "nb")
+    long = found.filter("b is null").select("token", F.col("a").alias("node"), F.col("na").alias("n"), "pos")
 
     def pairs(left: DataFrame, right: DataFrame, more=F.lit(True)) -> DataFrame:
         x = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
@@ -334,22 +386,24 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         several = part.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").select(F.col("token").alias("t"))
         return stored(part.join(several, F.col("token") == F.col("t"), "left_semi"), "unsettled")
 
-    short = lists.filter(F.col("size") <= SHORT).withColumn("group", F.col("node"))
-    check.verify(pairs(short, short, F.col("a") < F.col("b")))
-    long = unsettled(grouped(lists.filter(F.col("size") > SHORT)))
+    long = long.withColumn("group", F.col("node"))
     for turn in range(ROUNDS):
-        if long.isEmpty():
+        if turn and long.isEmpty():
             break
-        # a leader for each list and span of sizes, the same for lists of the same nodes
-        span = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.12)))
-        part = long.withColumn("span", span + F.lit(turn % 2)).withColumn("luck", F.xxhash64("node", F.lit(turn)))
-        lead = part.groupBy(F.col("token").alias("lt"), F.floor(F.col("span") / 2).alias("ls")).agg(F.min(F.struct("luck", "node", "n", "pos", "group")).alias("l"))
-        found = part.join(lead, (F.col("token") == F.col("lt")) & (F.floor(F.col("span") / 2) == F.col("ls"))).select(
-            F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"), F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.pos").alias("pb"), F.col("l.group").alias("gb")
-        )
-        found = found.filter((F.col("ga") != F.col("gb")) & passes(percent))
-        first = F.col("a") < F.col("b")
-        check.verify(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")))
+        # leaders for each list and span of sizes, the same for lists of the same nodes
+        span = F.floor((F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.12))) + F.lit(turn % 2)) / 2)
+        part = long.withColumn("span", span)
+        lucky = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)), "node", "n", "group")) for k in range(LEADERS)]
+        lead = part.groupBy(F.col("token").alias("lt"), F.col("span").alias("ls")).agg(F.array(*lucky).alias("leaders"))
+        # a leader may stand behind the first shingle that a pair shares, so only lengths count here
+        apart = F.filter("leaders", lambda l: (l["group"] != F.col("group")) & (100 * l["n"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * l["n"]))
+        found = part.join(lead, (F.col("token") == F.col("lt")) & (F.col("span") == F.col("ls"))).select(F.col("node").alias("a"), F.col("n").alias("na"), apart.alias("leaders"))
+        # a node meets a leader once, however many lists both stand in
+        found = found.groupBy("a").agg(F.first("na").alias("na"), F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
+        found = found.select("a", "na", F.explode("leaders").alias("l")).select("a", "na", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
+        low = F.col("a") < F.col("b")
+        led = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+        check.verify(led if turn else first.unionAll(led))
         long = unsettled(grouped(long.drop("group")))
     if not long.isEmpty():
         # exact for what is left: a list's largest group against the others, and these among themselves
