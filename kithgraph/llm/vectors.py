@@ -17,14 +17,21 @@ from .common import components, stored
 
 #: Vectors that centres are fitted on (about), vectors of a cell (about), most cells, rounds of k-means.
 FIT, PER_CELL, MOST_CELLS, ROUNDS = 20_000, 512, 2048, 12
-#: Distance to the border with a cell within which a vector is compared in that cell too. Two vectors of cosine c are
-#: sqrt(2 - 2c) apart; half of it (0.1 at 0.98) would make sure that every pair meets. In 64 dimensions the part of a difference
-#: that is square to a border is about an eighth of it, so that far less finds all but a few pairs in a thousand.
-MARGIN = 0.06
+#: Allowance for rounding, in squared distance and in a vector's distance from a border.
+ROUNDING = 1e-9
 #: Classes of a block: a product's matrix holds its square of doubles.
 BLOCK = 1024
 
 
+def exact_margin(least: float) -> float:
+    """Distance to the border with a cell within which a vector is compared in that cell too.
+
+    Two vectors of cosine ``least`` are sqrt(2 - 2 least) apart. If they are at home on different sides of a border, one of them
+    is within half of that of it, and so stands in the other's home: every pair of at least that cosine meets in a home.
+    """
+    return float(np.sqrt(max(0.0, 2 - 2 * least) + ROUNDING)) / 2
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -54,8 +61,9 @@ def assign(vectors: np.ndarray, centres: np.ndarray, margin: float) -> list[np.n
     dots = vectors @ centres.T
     home = dots.argmax(axis=1)
     gap = dots[np.arange(len(vectors)), home][:, None] - dots
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)))[home]
-    near = gap <= margin * apart
+    # a root of what rounds near 0 may be too small by the root of the rounding
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)) + ROUNDING)[home]
+    near = gap <= margin * apart + ROUNDING
     near[np.arange(len(vectors)), home] = False
     return [np.concatenate([[h], np.flatnonzero(row)]) for h, row in zip(home, near, strict=True)]
 
@@ -66,7 +74,7 @@ def batch_matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(len(column), -1)
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, per_cell: int = PER_CELL, margin: float = MARGIN, fit: int = FIT) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, per_cell: int = PER_CELL, margin: float = 0.0, fit: int = FIT) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept.
 
     Two vectors link if their labels are equal and not null and their cosine in doubles is at least ``least``. Vectors that are
@@ -74,9 +82,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     of different lengths never link. Of a component the smallest identifier is kept; a null identifier links as others do but is
     no component's smallest unless all are null. Rows that repeat an identifier are vectors of their own. Other
     columns are ignored; an empty table gives an empty result. Centres are fitted on about ``fit`` vectors; all are
-    assigned and compared. Equal vectors are compared once; all links between different ones that meet in a cell are found.
+    assigned and compared. Equal vectors are compared once. All links are found: the margin of cells follows from ``least``,
+    and ``margin`` can only widen it.
     """
     spark = vectors.sparkSession
+    margin = max(margin, exact_margin(least))
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(label_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(usable, F.lit(False)).alias("usable"))

@@ -113,3 +113,17 @@ def test_vectors_in_many_blocks(spark, data, monkeypatch):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in frame.collect()]
     got = vectors.near_vectors(frame, per_cell=64).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == expected(rows)
+
+
+@pytest.mark.parametrize(("size", "least"), [(4, 0.98), (6, 0.9)])
+def test_vectors_of_few_dimensions_meet_across_cells(spark, size, least):
+    x = np.random.default_rng(size).normal(size=(500, size))
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= least
+    got = {r["vec_id"]: r for r in vectors.near_vectors(frame, least=least, per_cell=16).collect()}
+    assert [got[k]["n_links"] for k in range(500)] == (near.sum(axis=1) - 1).tolist()
+    low = np.arange(500)
+    while (low != (new := np.where(near, low, 500).min(axis=1))).any():
+        low = new
+    assert [got[k]["component_id"] for k in range(500)] == low.tolist()
