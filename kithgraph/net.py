@@ -405,3 +405,28 @@ def per_graph(net: Net, function, schema: str, diag: bool = False, ignore_eval:
         return pa.Table.from_arrays([pa.array([gid] * size, pa.int64())] + [pa.array(got[c], kinds.field(c).type, from_pandas=False) for c in names], ["gid", *names])
 
     return rows.groupBy("gid").applyInArrow(run, "gid long, " + schema)
+
+
+def per_graph_ties(net: Net, function, schema: str, arcs: DataFrame, alone: bool = False) -> DataFrame:
+    """``function(vids, a, b, w)`` -> dict of columns, for each graph as its ties, places in the sorted vids, in one task a graph.
+
+    Of any number of vertices. Those without ties, and so graphs without any, are left out unless ``alone``.
+    """
+    u, v = arcs.columns[1:3]
+    rows = arcs.select("gid", F.col(u).alias("a"), F.col(v).alias("b"), F.col("w") if "w" in arcs.columns else F.lit(1.0).alias("w"))
+    if alone:
+        rows = rows.unionAll(net.vertices.select("gid", F.col("vid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("w")))
+    names = [x.split()[0] for x in schema.split(",")]
+    types = rows.sparkSession.createDataFrame([], "gid long, " + schema).schema
+
+    def run(key, table):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ties = table.filter(table.column("b").is_valid())
+        every, a, b, w = (np.asarray(c) for c in (table.column("a"), ties.column("a"), ties.column("b"), ties.column("w")))
+        ids = np.unique(np.concatenate([every, b]))
+        got = function(ids, np.searchsorted(ids, a), np.searchsorted(ids, b), w)
+        size, kinds = len(got[names[0]]), to_arrow_schema(types)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * size, pa.int64())] + [pa.array(got[c], kinds.field(c).type, from_pandas=False) for c in names], ["gid", *names])
+
+    return rows.groupBy("gid").applyInArrow(run, "gid long, " + schema)

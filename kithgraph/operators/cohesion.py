@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import net as sizes
 from ..functions.exprs import nan_div
 from ..functions.tables import components, stored
-from ..net import Net, check_option, observed, per_graph
+from ..net import Net, check_option, observed, per_graph, per_graph_ties
 from .paths import first_rank, strong_labels
 
 CONNECTED = ("strong", "weak", "recursive")
@@ -89,21 +91,32 @@ def kcores(net: Net, cmode: str = "freeman", k=None) -> DataFrame:
         ends = arcs
     # ends: (vertex, the vertex whose removal takes one of its degrees)
     if ends.count() <= sizes.SMALL_TIES:
-        pulls = ends.groupBy("gid", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-        return net.out(per_graph(net, _core_numbers, "vid long, core long", arcs=pulls))
+        got = per_graph_ties(net, _core_numbers, "vid long, core long", ends)
+        return net.out(net.vertices.select("gid", "vid").join(got, ["gid", "vid"], "left").fillna(0, ["core"]))
     return net.out(_cores_by_joins(net, ends))
 
 
-def _core_numbers(ids: np.ndarray, pulls: np.ndarray) -> dict:
-    degree, core, left = pulls.sum(axis=1), np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-    level = 0
-    while left.any():
-        level = max(level, int(degree[left].min()))
-        go = left & (degree <= level)
-        core[go] = level
-        left &= ~go
-        degree = degree - pulls[:, go].sum(axis=1)
-    return {"vid": ids, "core": core}
+def adjacency_lists(n: int, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """The sorted ``b`` of each ``a`` from 0 to n - 1."""
+    order = np.lexsort((b, a))
+    return [x.tolist() for x in np.split(b[order], np.searchsorted(a[order], np.arange(1, n)))]
+
+
+def _core_numbers(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> dict:
+    degree, pulls = np.bincount(a, minlength=len(ids)).tolist(), adjacency_lists(len(ids), b, a)
+    core, level = [-1] * len(ids), 0
+    queue = [(d, v) for v, d in enumerate(degree)]
+    heapq.heapify(queue)
+    while queue:
+        d, v = heapq.heappop(queue)
+        if core[v] >= 0 or d > degree[v]:
+            continue
+        core[v] = level = max(level, d)
+        for u in pulls[v]:
+            if core[u] < 0:
+                degree[u] -= 1
+                heapq.heappush(queue, (degree[u], u))
+    return {"vid": ids, "core": np.array(core, np.int64)}
 
 
 def _cores_by_joins(net: Net, ends: DataFrame) -> DataFrame:

@@ -236,3 +236,10 @@ def test_centralization_and_cohesion_indices(corpus):
         assert same(conn[g][()]["connectedness"], pairs / (n * (n - 1) / 2) if n > 1 else 1.0)
     with pytest.raises(ValueError):
         centralization(net, lambda n: degreecent(n))
+
+
+def test_cores_of_a_sparse_graph_beyond_dense(spark):
+    ring = [(v, v % 3500 + 1) for v in range(1, 3501)]
+    net = Net.of(spark, 3600, [*ring, *[(i, j) for i in (10, 20, 30, 40) for j in (10, 20, 30, 40) if i < j], (5, 3550)], directed=False)
+    got = {r["vid"]: r["core"] for r in cohesion.kcores(net).collect()}
+    assert got == {v: 0 if v > 3500 and v != 3550 else 1 if v == 3550 else 3 if v in (10, 20, 30, 40) else 2 for v in range(1, 3601)}
