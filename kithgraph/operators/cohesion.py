@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import net as sizes
 from ..functions.exprs import nan_div
 from ..functions.tables import components, stored
-from ..net import Net, check_option, observed, per_graph, per_graph_ties
+from ..net import Net, check_option, observed, per_graph_ties
 from .paths import first_rank, strong_labels
 
 CONNECTED = ("strong", "weak", "recursive")
@@ -140,10 +140,9 @@ def _cores_by_joins(net: Net, ends: DataFrame) -> DataFrame:
     return out
 
 
-def articulation(matrix: np.ndarray) -> tuple[set[int], list[list[tuple[int, int]]]]:
+def articulation(near: list[list[int]]) -> tuple[set[int], list[list[tuple[int, int]]]]:
     """(cut vertices, edges of each biconnected component) of an undirected graph, by one depth-first search without recursion."""
-    n = len(matrix)
-    near = [np.flatnonzero(row).tolist() for row in matrix]
+    n = len(near)
     number, low, cut, blocks, clock = [0] * n, [0] * n, set(), [], 0
     for root in range(n):
         if number[root]:
@@ -185,22 +184,99 @@ def articulation(matrix: np.ndarray) -> tuple[set[int], list[list[tuple[int, int
     return cut, blocks
 
 
-def strong_count(matrix: np.ndarray) -> int:
-    """Number of strongly connected components, by searches forward and back from one vertex after another."""
-    left, count = np.ones(len(matrix), bool), 0
-    while left.any():
-        root = int(np.flatnonzero(left)[0])
-        both = np.ones(len(matrix), bool)
-        for m in (matrix, matrix.T):
-            seen = np.zeros(len(matrix), bool)
-            seen[root], front = True, np.array([root])
-            while len(front):
-                front = np.flatnonzero((m[front] != 0).any(axis=0) & left & ~seen)
-                seen[front] = True
-            both &= seen
-        left &= ~both
-        count += 1
-    return count
+def strong_parts(near: list[list[int]]) -> np.ndarray:
+    """The number of each vertex's strongly connected component, by one depth-first search without recursion."""
+    n, clock, parts = len(near), 0, 0
+    number, low, part, stack = [0] * n, [0] * n, [-1] * n, []
+    for root in range(n):
+        if number[root]:
+            continue
+        clock += 1
+        number[root] = low[root] = clock
+        stack.append(root)
+        path = [(root, iter(near[root]))]
+        while path:
+            v, rest = path[-1]
+            for w in rest:
+                if not number[w]:
+                    clock += 1
+                    number[w] = low[w] = clock
+                    stack.append(w)
+                    path.append((w, iter(near[w])))
+                    break
+                if part[w] < 0:
+                    low[v] = min(low[v], number[w])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
+                if low[v] == number[v]:
+                    while part[v] < 0:
+                        part[stack.pop()] = parts
+                    parts += 1
+    return np.array(part, np.int64)
+
+
+def dominating(near: list[list[int]], back: list[list[int]], root: int) -> set[int]:
+    """The vertices other than ``root`` that all paths from it to some further vertex pass (Cooper, Harvey and Kennedy)."""
+    seen, path, order = {root}, [(root, iter(near[root]))], []
+    while path:
+        v, rest = path[-1]
+        for w in rest:
+            if w not in seen:
+                seen.add(w)
+                path.append((w, iter(near[w])))
+                break
+        else:
+            order.append(v)
+            path.pop()
+    place, up, changed = {v: i for i, v in enumerate(order)}, {root: root}, True
+    while changed:
+        changed = False
+        for v in reversed(order[:-1]):
+            best = -1
+            for u in back[v]:
+                if u not in up:
+                    continue
+                if best < 0:
+                    best = u
+                    continue
+                while u != best:
+                    while place[u] < place[best]:
+                        u = up[u]
+                    while place[best] < place[u]:
+                        best = up[best]
+            if up.get(v) != best:
+                up[v], changed = best, True
+    return {u for v, u in up.items() if v != root} - {root}
+
+
+def reached(near: list[list[int]], start: int, without: int) -> int:
+    """How many vertices paths from ``start`` reach that avoid ``without``, itself included."""
+    seen, todo = {start, without}, [start]
+    while todo:
+        for w in near[todo.pop()]:
+            if w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return len(seen) - 1
+
+
+def strong_cutpoints(n: int, a: np.ndarray, b: np.ndarray) -> set[int]:
+    """The vertices without which their strongly connected component falls apart: those that dominate others from one vertex of it,
+    along the arcs or against them, and that vertex itself if the others don't reach each other."""
+    part = strong_parts(adjacency_lists(n, a, b))
+    inner = part[a] == part[b]
+    a, b = a[inner], b[inner]
+    near, back, cut = adjacency_lists(n, a, b), adjacency_lists(n, b, a), set()
+    roots, size = np.unique(part, return_index=True)[1].tolist(), np.bincount(part).tolist()
+    for root, k in zip(roots, size, strict=True):
+        if k > 2:
+            cut |= dominating(near, back, root) | dominating(back, near, root)
+            other = next(w for w in near[root] if w != root)
+            if min(reached(near, other, root), reached(back, other, root)) < k - 1:
+                cut.add(root)
+    return cut
 
 
 @observed
@@ -213,14 +289,8 @@ def cutpoints(net: Net, connected: str = "strong", symmetrize: str | None = None
     else:
         rule = symmetrize
     if net.directed and connected == "strong" and symmetrize is None:
-
-        def found(ids, m):
-            base, keep = strong_count(m), np.arange(len(ids))
-            return {"vid": ids[[v for v in keep if strong_count(m[np.ix_(keep != v, keep != v)]) > base]]}
-
-        return net.out(per_graph(net, found, "vid long"))
-    ties = net.symmetrized(rule).withColumn("w", F.lit(1.0))
-    return net.out(per_graph(net, lambda ids, m: {"vid": ids[sorted(articulation(m)[0])]}, "vid long", arcs=ties))
+        return net.out(per_graph_ties(net, lambda ids, a, b, w: {"vid": ids[sorted(strong_cutpoints(len(ids), a, b))]}, "vid long", net.arcs()))
+    return net.out(per_graph_ties(net, lambda ids, a, b, w: {"vid": ids[sorted(articulation(adjacency_lists(len(ids), a, b))[0])]}, "vid long", net.symmetrized(rule)))
 
 
 @observed
@@ -229,33 +299,31 @@ def bicomponents(net: Net, symmetrize: str = "strong", min_size: int = 3) -> Dat
     if min_size < 2:
         raise ValueError("min_size must be at least 2")
 
-    def found(ids, m):
-        blocks = [b for b in articulation(m)[1] if len({v for e in b for v in e}) >= min_size]
+    def found(ids, a, b, w):
+        blocks = [b for b in articulation(adjacency_lists(len(ids), a, b))[1] if len({v for e in b for v in e}) >= min_size]
         blocks.sort(key=lambda b: sorted({v for e in b for v in e}))
         rows = [(k + 1, min(e), max(e)) for k, b in enumerate(blocks) for e in sorted(b)]
         k, u, v = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         return {"bicomponent": k, "src": ids[u], "dst": ids[v]}
 
-    return net.out(per_graph(net, found, "bicomponent long, src long, dst long", arcs=net.symmetrized(symmetrize).withColumn("w", F.lit(1.0))))
+    return net.out(per_graph_ties(net, found, "bicomponent long, src long, dst long", net.symmetrized(symmetrize)))
 
 
 def maximal_cliques(near: list[set[int]]):
     """Bron-Kerbosch with pivots, from each vertex in order of degeneracy, without recursion."""
     n, left, order = len(near), {v: len(near[v]) for v in range(len(near))}, []
-    buckets: dict[int, set[int]] = {}
-    for v, d in left.items():
-        buckets.setdefault(d, set()).add(v)
-    while left:
-        d = min(k for k, b in buckets.items() if b)
-        v = min(buckets[d])
-        buckets[d].discard(v)
+    queue = [(d, v) for v, d in left.items()]
+    heapq.heapify(queue)
+    while queue:
+        d, v = heapq.heappop(queue)
+        if left.get(v) != d:
+            continue
         del left[v]
         order.append(v)
         for w in near[v]:
             if w in left:
-                buckets[left[w]].discard(w)
                 left[w] -= 1
-                buckets.setdefault(left[w], set()).add(w)
+                heapq.heappush(queue, (left[w], w))
     place = {v: i for i, v in enumerate(order)}
     for v in range(n):
         todo = [([v], {w for w in near[v] if place[w] > place[v]}, {w for w in near[v] if place[w] < place[v]})]
@@ -276,8 +344,8 @@ def maximal_cliques(near: list[set[int]]):
 def cliques(net: Net, min_size: int = 3, symmetrize: str = "strong") -> DataFrame:
     """clique, size, members (array, sorted): the maximal cliques of at least ``min_size`` vertices, in order of their members."""
 
-    def found(ids, m):
-        got = sorted(c for c in maximal_cliques([set(np.flatnonzero(r).tolist()) for r in m]) if len(c) >= min_size)
+    def found(ids, a, b, w):
+        got = sorted(c for c in maximal_cliques([set(x) for x in adjacency_lists(len(ids), a, b)]) if len(c) >= min_size)
         return {"clique": np.arange(1, len(got) + 1), "size": np.array([len(c) for c in got], np.int64), "members": [ids[c].tolist() for c in got]}
 
-    return net.out(per_graph(net, found, "clique long, size long, members array<long>", arcs=net.symmetrized(symmetrize).withColumn("w", F.lit(1.0))))
+    return net.out(per_graph_ties(net, found, "clique long, size long, members array<long>", net.symmetrized(symmetrize), alone=True))

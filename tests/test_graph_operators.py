@@ -243,3 +243,27 @@ def test_cores_of_a_sparse_graph_beyond_dense(spark):
     net = Net.of(spark, 3600, [*ring, *[(i, j) for i in (10, 20, 30, 40) for j in (10, 20, 30, 40) if i < j], (5, 3550)], directed=False)
     got = {r["vid"]: r["core"] for r in cohesion.kcores(net).collect()}
     assert got == {v: 0 if v > 3500 and v != 3550 else 1 if v == 3550 else 3 if v in (10, 20, 30, 40) else 2 for v in range(1, 3601)}
+
+
+def test_cutpoints_bicomponents_and_cliques_beyond_dense(spark):
+    # a path of triangles: (1, 2, 3), (3, 4, 5), ...
+    ties = [(v + i, v + j) for v in range(1, 4000, 2) for i, j in ((0, 1), (1, 2), (0, 2))]
+    net = Net.of(spark, 4010, ties, directed=False)
+    middle = list(range(3, 4000, 2))
+    assert sorted(r["vid"] for r in cohesion.cutpoints(net, "weak").collect()) == middle
+    blocks = cohesion.bicomponents(net).collect()
+    assert sorted((r["bicomponent"], r["src"], r["dst"]) for r in blocks) == sorted(((u + 1) // 2 if u % 2 else u // 2, u, v) for u, v in ties)
+    got = {r["clique"]: r["members"] for r in cohesion.cliques(net, 1).collect()}
+    assert got == {k + 1: [2 * k + 1, 2 * k + 2, 2 * k + 3] if k < 2000 else [k + 2002] for k in range(2009)}
+    rings = Net.of(spark, 4010, [t for v in range(1, 4000, 2) for t in ((v, v + 1), (v + 1, v + 2), (v + 2, v))])
+    assert sorted(r["vid"] for r in cohesion.cutpoints(rings).collect()) == list(range(1, 4002))
+
+
+def test_strong_cutpoints_are_those_that_split():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        a = brute.random_graph(rng, n, rng.choice([0.15, 0.25, 0.4, 0.6]), True)
+        parts = len(set(brute.strong(a)))
+        split = {v for v in range(n) if len(set(brute.strong(np.delete(np.delete(a, v, 0), v, 1)))) > parts}
+        assert cohesion.strong_cutpoints(n, *np.nonzero(a)) == split
