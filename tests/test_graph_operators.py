@@ -267,3 +267,20 @@ def test_strong_cutpoints_are_those_that_split():
         parts = len(set(brute.strong(a)))
         split = {v for v in range(n) if len(set(brute.strong(np.delete(np.delete(a, v, 0), v, 1)))) > parts}
         assert cohesion.strong_cutpoints(n, *np.nonzero(a)) == split
+
+
+def test_evcent_beyond_dense(spark, monkeypatch):
+    chain = Net.of(spark, 3500, [(v, v + 1) for v in range(1, 3500)])
+    assert all(math.isnan(r["score"]) for r in spectral.evcent(chain).collect())
+    path = Net.of(spark, 3501, [(v, v + 1) for v in range(1, 3500)], directed=False)
+    got = {r["vid"]: r["score"] for r in spectral.evcent(path).collect()}
+    true = np.sin(np.pi * np.arange(1, 3501) / 3501) * math.sqrt(2 / 3501)
+    assert np.allclose([got[v] for v in range(1, 3501)], true, atol=1e-9) and got[3501] == 0
+    monkeypatch.setattr("kithgraph.net.DENSE_VERTICES", 3)
+    monkeypatch.setattr("kithgraph.net.SMALL_TIES", 0)
+    short = Net.of(spark, 4, [(1, 2), (2, 3), (3, 4)])
+    assert all(math.isnan(r["score"]) for r in spectral.evcent(short).collect())
+    whole = Net.of(spark, 4, [(1, 2), (2, 3), (1, 3)], directed=False)
+    assert np.allclose(sorted(r["score"] for r in spectral.evcent(whole, tol=1e-2).collect()), [0] + [3**-0.5] * 3, atol=1e-2)
+    with pytest.raises(RuntimeError):
+        spectral._power_iteration(path, path.arcs(), 1e-10, most=2)
