@@ -6,14 +6,20 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a fresh temporary one only where that is unset and all tasks are local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kithgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,28 +57,57 @@ def unstore(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._kg_path)
 
 
-#: Links that one task of a round of ``components`` handles.
+#: Links that one task joins into components; more are contracted in rounds over stored tables.
 LINKS_PER_TASK = 500_000
 
 
+def contract(p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
+    """The smallest node that each of 0 .. size - 1 reaches by the links p, q: roots hook to smaller ones until none can."""
+    low = np.arange(size)
+    while True:
+        m = np.minimum(low[p], low[q])
+        new = low.copy()
+        for end in (p, q):
+            np.minimum.at(new, low[end], m)
+            np.minimum.at(new, end, m)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _contracted(batches):
+    """(node, component) of links (a, b) that one task holds."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    both = pa.concat_arrays([table.column(c).combine_chunks() for c in (0, 1)])
+    node, at = np.unique(np.asarray(both, dtype=object if pa.types.is_string(both.type) or pa.types.is_binary(both.type) else None), return_inverse=True)
+    low = contract(at[: table.num_rows], at[table.num_rows :], len(node))
+    yield pa.RecordBatch.from_arrays([pa.array(x, both.type) for x in (node, node[low])], ["node", "component"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are written to the shared folder,
     so no round's lineage grows and no links reach the driver. Both stars replace an edge by an edge to
     the neighbourhood's minimum, which ``min`` pre-aggregates, so a node with very many links stays cheap.
-    Up to LINKS_PER_TASK links a round's joins and aggregations run in one partition and so need no shuffle.
+    Up to LINKS_PER_TASK links, counted first, one task contracts all at once, with the same result.
     Nodes are of any type with an order. Null ends and self links are ignored; an empty table gives an empty result.
     """
     cur = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
     number = cur.count()
+    kind = cur.schema["a"].dataType.simpleString()
+    if number <= LINKS_PER_TASK and kind in ("int", "bigint", "string"):
+        ship(cur.sparkSession)
+        out = stored(cur.coalesce(1).mapInArrow(_contracted, f"node {kind}, component {kind}"), "cc")
+        unstore(cur)
+        return out
     for _ in range(most_rounds):
         if not number:
             break
-        if number <= LINKS_PER_TASK:
-            path = cur._kg_path
-            cur = cur.coalesce(1)
-            cur._kg_path = path
         both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of v is linked to the smallest of v and its neighbours
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -85,7 +120,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = stored(small, "cc")
         before, number = number, new.count()
         # a star's edges are distinct: equal numbers and none that is new
-        same = number == before and (new.coalesce(1) if number <= LINKS_PER_TASK else new).join(cur, ["a", "b"], "left_anti").isEmpty()
+        same = number == before and new.join(cur, ["a", "b"], "left_anti").isEmpty()
         unstore(cur)
         cur = new
         if same:
