@@ -5,11 +5,15 @@
 2. Each document leaves the digest and size of its set, a histogram of its hashes and its prefix: the first
    n - ceil(t * n) + 1 shingles in that order. Two sets that reach the threshold t share one of their prefixes.
 3. Equal sets are one node. The nodes' prefix shingles are sorted together and streamed: a shingle of one node alone
-   goes, a short list of nodes gives all its pairs, a long list is kept.
-4. Long lists give, for some rounds, a pair of each node with a leader of its list: groups of near copies grow
-   together without their pairs. Last, every pair of a list that is still in different groups is made,
-   between the list's largest group and the others and among these.
-5. Pairs pass the length and positional filters as they are made, the suffix filter (histograms bound the overlap), and
+   goes, a short list of nodes gives all its pairs, the rows of a long list are kept.
+4. Long lists give a pair of each node with a few leaders of its list: groups of near copies grow together without
+   their pairs.
+5. A long list that still holds several groups is not paired up either. Its nodes are compared with one pivot, a node of the
+   list's largest group, and leave what they differ in. Two sets x, y link if and only if they differ in few enough
+   shingles, and how many they differ in follows from how many of their differences from the pivot they share; unless both
+   link with the pivot, they must share at least one. So prefix and positional filters hold on differences as they do on sets:
+   only nodes that share a prefix of their differences are paired. Copies that were each changed elsewhere never meet.
+6. Pairs pass the length and positional filters as they are made, the suffix filter (histograms bound the overlap), and
    are verified once with both sets.
 """
 
@@ -21,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, components, large, mix64, stored, tasks, unstore, utf8
+from .common import batches_of, components, free_name, large, mix64, stored, tasks, unstore, utf8
 
 WORDS, PERCENT = 5, 80
-#: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, rounds of leaders, leaders of a
-#: list and span of sizes in a round, histogram cells.
-BITS, SLICE, SHORT, ROUNDS, LEADERS, HISTOGRAM = 21, 1 << 16, 16, 2, 8, 64
+#: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, leaders of a list and span of sizes, parts
+#: that a list's rows are dealt into to meet them, histogram cells.
+BITS, SLICE, SHORT, LEADERS, SALTS, HISTOGRAM = 21, 1 << 16, 16, 4, 16, 64
+#: Ranks of the sketch grow by this with each doubling of a cell's count, so that 64 bits of count fit 16 bits of rank.
+STEPS = 1023
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 #: Bits of the filter that tells which documents' sets are needed.
@@ -109,7 +115,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of 2**BITS cells a rank (0 to 255) that grows with the shingles counted in it, over all of ``docs`` (text)."""
+    """For each of 2**BITS cells a rank (16 bits) that grows with the shingles counted in it, over all of ``docs`` (text)."""
 
     def count(batches):
         cells = np.zeros(1 << BITS, np.int64)
@@ -119,48 +125,58 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
         for s in range(0, len(cells), SLICE):
             part = cells[s : s + SLICE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // SLICE], pa.int32()), pa.array([np.minimum(part, 65535).astype("<u2").tobytes()], pa.binary())], ["slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([s // SLICE], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["slice", "counts"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<u2").astype(np.int64)
+                part = np.frombuffer(raw, "<u4").astype(np.int64)
                 held[s] = held[s] + part if s in held else part
         for s, part in held.items():
-            rank = np.minimum(255, 12 * np.log2(1.0 + part)).astype(np.uint8)
+            rank = (STEPS * np.log2(1.0 + part)).astype("<u2")
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["slice", "ranks"])
 
     parts = docs.mapInArrow(count, "slice int, counts binary").repartition(min(tasks(docs.sparkSession), (1 << BITS) // SLICE), "slice").mapInArrow(add, "slice int, ranks binary")
-    out = np.zeros(1 << BITS, np.uint8)
-    for r in parts.collect():  # 2**BITS bytes, whatever the input
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["ranks"], np.uint8)
+    out = np.zeros(1 << BITS, np.uint16)
+    for r in parts.collect():  # 2 * 2**BITS bytes, whatever the input
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["ranks"], "<u2")
     return out
 
 
+def rare_first(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys that put shingles in order: 16 bits of rank, then the hash."""
+    return (rank[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+
+
+def counts(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """About how often shingles stand in all sets, by their ranks."""
+    return np.exp2(rank[(h >> np.uint64(64 - BITS)).astype(np.int64)] / STEPS) - 1
+
+
 def signatures(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n, digest, histogram, prefix."""
+    """Per row of ``docs`` (doc_id, mark, text): doc_id, mark, n, digest, histogram, prefix."""
 
     def run(batches):
         rank = ranks.value
         for batch in batches:
             number, digest, hist, prefix = [], [], [], []
-            for _, h in sets(batch.column(1), k):
+            for _, h in sets(batch.column(2), k):
                 n = len(h)
                 number.append(n)
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 cells = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM)
                 hist.append(cells.astype("<u2").tobytes() if n and cells.max() < 65536 else None)
                 p = prefix_size(n, percent)
-                order = (rank[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                order = rare_first(rank, h)
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.argsort(order[first], kind="stable")]
                 prefix.append(h[first].view(np.int64))
             size = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(hist, pa.binary()), lists], ["doc_id", "n", "digest", "histogram", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(hist, pa.binary()), lists], ["doc_id", "mark", "n", "digest", "histogram", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, histogram binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n int, digest binary, histogram binary, prefix array<long>")
 
 
 def postings(sorted_rows: DataFrame, percent: int) -> DataFrame:
@@ -226,25 +242,26 @@ def postings(sorted_rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "token long, a long, b long, na int, nb int, pos int")
 
 
-class Verifier:
-    """Verifies pairs of nodes once each: suffix filter on histograms, then whole sets."""
+class Links:
+    """Links between nodes: pairs are screened by histograms and verified once with both sets."""
 
     def __init__(self, nodes: DataFrame, docs: DataFrame, k: int, percent: int):
-        """``nodes``: node, doc_id, digest, histogram of all nodes; ``docs``: doc_id, text."""
+        """``nodes``: node, doc_id, n, digest, histogram of all nodes; ``docs``: doc_id, text."""
         self.nodes, self.docs, self.k, self.percent = nodes, docs, k, percent
-        self.links: list[DataFrame] = []
+        self.found: list[DataFrame] = []
+        self.sets = None
 
-    def _sets(self, nodes: DataFrame) -> DataFrame:
-        """(digest, shingles) of ``nodes`` (node, doc_id, digest) and a few others, hashed from their texts again.
+    def hold(self, needed: DataFrame) -> None:
+        """Keeps the sets of ``needed`` (node) and a few others, hashed from their texts again: digest, shingles.
 
         A set comes once a task that reads its text, so tables of many equal rows stay small; a repeated set repeats links only.
         """
         docs, k = self.docs, self.k
         spark = docs.sparkSession
-        batch_rows(spark, 256)
         # which documents are needed, as a filter of fixed size: others' texts needn't be hashed again
+        wanted = self.nodes.join(needed.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi").filter("doc_id is not null")
         h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-        words = nodes.filter("doc_id is not null").select(F.shiftright(h, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 32) as int))").alias("bit"))
+        words = wanted.select(F.shiftright(h, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 32) as int))").alias("bit"))
         bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
         for r in words.groupBy("w").agg(F.bit_or("bit").alias("b")).collect():
             bits[r["w"]] = r["b"]
@@ -257,22 +274,25 @@ class Verifier:
                 use = (have[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1 == 1
                 use |= np.asarray(batch.column(0).is_null())
                 part = pa.Table.from_batches([batch]).filter(pa.array(use))
-                if not part.num_rows:
-                    continue
-                digest, blob = [], []
-                for _, s in sets(part.column(1), k):
+                digest, blob, size = [], [], 0
+                for _, s in sets(part.column(1), k) if part.num_rows else ():
                     raw = s.tobytes()
                     key = xxhash.xxh3_128_digest(raw)
                     if key not in seen:  # copies of a needed document: one a task
                         seen.add(key)
                         digest.append(key)
                         blob.append(raw)
+                        size += len(raw)
+                    if size > 4 * CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], ["digest", "shingles"])
+                        digest, blob, size = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], ["digest", "shingles"])
 
-        return docs.select("doc_id", "text", h.alias("cell")).mapInArrow(run, "digest binary, shingles binary")
+        with batches_of(spark, 256):
+            self.sets = stored(docs.select("doc_id", "text", h.alias("cell")).mapInArrow(run, "digest binary, shingles binary"), "sets")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` (a, b, na, nb), which may repeat."""
+    def screen(self, pairs: DataFrame) -> DataFrame:
+        """The distinct ``pairs`` (a, b, na, nb) that histograms don't rule out, with their digests: a, b, da, db."""
         percent = self.percent
         pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
 
@@ -286,20 +306,25 @@ class Verifier:
                 out = pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_())).select(["a", "b", "da", "db"])
                 yield from out.to_batches()
 
-        batch_rows(self.docs.sparkSession, 4096)
         left = self.nodes.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("histogram").alias("ha"))
         right = self.nodes.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("histogram").alias("hb"))
-        told = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db", "ha", "hb").mapInArrow(suffix, "a long, b long, da binary, db binary")
-        told = stored(told, "pairs")
-        used = told.select(F.col("a").alias("used")).distinct().union(told.select("b").distinct()).distinct()
-        needed = stored(self.nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "doc_id", "digest"), "needed")
-        sets_ = stored(self._sets(needed), "sets")
+        with batches_of(self.docs.sparkSession, 4096):
+            return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db", "ha", "hb").mapInArrow(suffix, "a long, b long, da binary, db binary"), "pairs")
+
+    def with_sets(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (.., da, db) with both sets, sa and sb."""
+        left, right = self.sets.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), self.sets.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
+        return pairs.join(right, "db").join(left, "da")
+
+    def verify(self, told: DataFrame) -> None:
+        """Adds the links among the screened pairs ``told``."""
+        percent = self.percent
 
         def whole(batches):
             for batch in batches:
-                a, b, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+                a, b, keep = batch.column(2), batch.column(3), []
                 for x, y in zip(a, b, strict=True):
-                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     if len(p) > len(q):
                         p, q = q, p
                     both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
@@ -307,36 +332,170 @@ class Verifier:
                 out = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 yield from out.to_batches()
 
-        batch_rows(self.docs.sparkSession, 64)  # two whole sets a row
-        left, right = sets_.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), sets_.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
-
         def linked(part: DataFrame) -> DataFrame:
-            return stored(part.join(right, "db").join(left, "da").select("a", "b", "sa", "sb").mapInArrow(whole, "a long, b long"), "links")
+            with batches_of(part.sparkSession, 64):  # two whole sets a row
+                return stored(self.with_sets(part).select("a", "b", "sa", "sb").mapInArrow(whole, "a long, b long"), "links")
 
         # first each node with one partner; then the pairs that these links leave apart
         one = stored(told.groupBy("b").agg(F.min(F.struct("a", "da", "db")).alias("m")).select("m.a", "b", "m.da", "m.db"), "one")
-        self.links.append(linked(one))
+        self.found.append(linked(one))
         group = self.groups()
         apart = told.join(one.select("a", "b"), ["a", "b"], "left_anti")
         for end in "ab":
             apart = apart.join(group.select(F.col("node").alias(end), F.col("group").alias(f"g{end}")), end, "left").withColumn(f"g{end}", F.coalesce(f"g{end}", end))
-        self.links.append(linked(apart.filter("ga <> gb").select("a", "b", "da", "db")))
-        for gone in (told, needed, sets_, one):
+        self.found.append(linked(apart.filter("ga <> gb").select("a", "b", "da", "db")))
+        for gone in (one, group):
             unstore(gone)
 
     def groups(self) -> DataFrame:
-        links = self.links[0]
-        for more in self.links[1:]:
+        links = self.found[0]
+        for more in self.found[1:]:
             links = links.unionAll(more)
         return stored(components(links).select("node", F.col("component").alias("group")), "groups")
 
+    def forget(self) -> None:
+        for gone in (*self.found, *([self.sets] if self.sets is not None else [])):
+            unstore(gone)
+
+
+def leaders_of(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of the nodes of long lists (token, node, n) with LEADERS of their list and span of sizes.
+
+    A list's rows are dealt into SALTS parts, each of which gets the list's leaders, so a hot list is no task's.
+    """
+    part = long.withColumn("span", F.floor(F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.12))) / 2))
+    # the same for lists of the same nodes
+    lucky = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n")) for k in range(LEADERS)]
+    lead = part.groupBy(F.col("token").alias("lt"), F.col("span").alias("ls")).agg(F.array(*lucky).alias("leaders")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = part.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    # a leader may stand behind the first shingle that a pair shares, so only lengths count here
+    apart = F.filter("leaders", lambda l: (l["node"] != F.col("node")) & (100 * l["n"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * l["n"]))
+    found = part.join(lead, (F.col("token") == F.col("lt")) & (F.col("span") == F.col("ls")) & (F.col("salt") == F.col("part"))).select(F.col("node").alias("a"), F.col("n").alias("na"), apart.alias("leaders"))
+    # a node meets a leader once, however many lists both stand in: at most LEADERS for each shingle of its prefix
+    found = found.groupBy("a").agg(F.first("na").alias("na"), F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
+    found = found.select("a", "na", F.explode("leaders").alias("l")).select("a", "na", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
+    low = F.col("a") < F.col("b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+
+
+def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame | None:
+    """Pairs (a, b, na, nb) that can still link across the groups of long lists (token, node, n, group); None if none is left.
+
+    Adds the links between nodes and pivots to ``check`` on the way; see step 5 of the module's text. With d(x) the shingles in
+    which x differs from the pivot and p for ``percent``, x and y link if and only if they share at least
+    (u(x) + u(y)) / (2 (100 + p)) differences, where u(x) = (100 + p) |d(x)| - (100 - p) |x|. A node's difference at a place
+    after which (itself included) r are left can be the first that it shares with y only if u(y) <= 2 (100 + p) r - u(x), its cap.
+    """
+    both, apart = 100 + percent, 100 - percent
+    per = long.groupBy("token", "group").agg(F.count(F.lit(1)).alias("c"))
+    open_ = per.groupBy(F.col("token").alias("t")).agg(F.max(F.struct("c", "group")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("t", F.col("m.group").alias("home"))
+    cells = stored(long.join(open_, F.col("token") == F.col("t")).groupBy("node", "home").agg(F.first("group").alias("group"), F.first("n").alias("n")), "cells")
+    if cells.isEmpty():
+        unstore(cells)
+        return None
+    # a group's pivot: its node that stands in most long lists, which tends to be the text that others are copies of
+    often = long.groupBy("group", "node").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("group").alias("g")).agg(F.max(F.struct("c", (-F.col("node")).alias("less"))).alias("m")).select("g", (-F.col("m.less")).alias("pivot"))
+    digest = check.nodes.select(F.col("node").alias("v"), "digest")
+    named = cells.join(often, F.col("home") == F.col("g")).drop("g")
+    named = named.join(digest.withColumnRenamed("digest", "da"), F.col("node") == F.col("v")).drop("v")
+    named = named.join(digest.withColumnRenamed("digest", "db"), F.col("pivot") == F.col("v")).drop("v")
+
+    def compare(batches):
+        rank = ranks.value
+        for batch in batches:
+            linked, u, lists = [], [], []
+            for n, x, y in zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                more, less = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+                # rare first: as many nodes lack one of the pivot's shingles as its commonest one is held by more
+                often = np.concatenate([counts(rank, more), counts(rank, q).max() - counts(rank, less)])
+                own = np.concatenate([more, less])
+                lists.append(own[np.lexsort((own, often))].view(np.int64))
+                size = len(own)
+                linked.append(both * size <= apart * (n + len(q)))
+                u.append(both * size - apart * n)
+            at = np.concatenate([[0], np.cumsum([len(z) for z in lists])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(linked, pa.bool_()), pa.array(u, pa.int64()), tokens], ["node", "home", "group", "pivot", "n", "linked", "u", "differences"])
+
+    with batches_of(long.sparkSession, 64):
+        compared = check.with_sets(named).select("node", "home", "group", "pivot", "n", "sa", "sb").mapInArrow(compare, "node long, home long, group long, pivot long, n int, linked boolean, u long, differences array<long>")
+        # a set that came from several tasks repeats its rows
+        compared = stored(compared.dropDuplicates(["node", "pivot"]), "compared")
+    check.found.append(stored(compared.filter("linked and node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "links"))
+
+    # the pivot itself differs in nothing; it has been compared with all
+    inside = F.col("linked") | (F.col("group") == F.col("home"))
+    some = compared.filter("node <> pivot").withColumn("inside", inside).withColumn("group", F.when(inside, F.col("home")).otherwise(F.col("group")))
+    lows = some.groupBy(F.col("pivot").alias("p")).agg(F.min(F.when(F.col("inside"), F.col("u"))).alias("low_in"), F.min(F.when(~F.col("inside"), F.col("u"))).alias("low_out")).filter("low_out is not null")
+    some = some.join(lows, F.col("pivot") == F.col("p"))
+    partner = F.when(F.col("inside"), F.col("low_out")).otherwise(F.least("low_in", "low_out"))
+    size = F.size("differences")
+    least_left = F.greatest(F.lit(1), F.ceil((partner + F.col("u")) / (2.0 * both))).cast("int")
+    some = some.withColumn("size", size).withColumn("kept", F.slice("differences", F.lit(1), F.greatest(F.lit(0), size - least_left + 1)))
+    some = some.select("pivot", "node", "group", "n", "u", "size", F.posexplode("kept").alias("pos", "token")).withColumn("cap", 2 * both * (F.col("size") - F.col("pos")).cast("long") - F.col("u")).drop("size", "pos")
+    some = stored(some, "differences")
+    keys = some.groupBy(F.col("pivot").alias("p"), F.col("token").alias("t")).agg(F.min("u").alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").drop("g0", "g1")
+    kept = stored(some.join(keys, (F.col("pivot") == F.col("p")) & (F.col("token") == F.col("t")) & (F.col("cap") >= F.col("low"))).drop("p", "t", "low"), "kept")
+    x, y = (kept.select("pivot", "token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("group").alias(f"g{e}"), F.col("u").alias(f"u{e}"), F.col("cap").alias(f"cap{e}")) for e in "ab")
+    found = x.join(y, ["pivot", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.col("ua") <= F.col("capb")) & (F.col("ub") <= F.col("capa")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    out = check.screen(found.select("a", "b", "na", "nb"))
+    for gone in (cells, compared, some, kept):
+        unstore(gone)
+    return out
+
+
+def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, component_id, node, first) of every row of ``docs`` (doc_id, mark, text): ``first`` tells the row, of
+    those with the smallest identifier of a component (nulls last), that has the smallest mark; null without shingles."""
+    spark = docs.sparkSession
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str, rows: int = 256) -> DataFrame:
+        with batches_of(spark, rows):
+            used.append(stored(df, tag))
+        return used[-1]
 
-def passes(percent: int, na="na", nb="nb", pa_="pa", pb="pb"):
-    """Length and positional filters: what is left of both sets from the shared shingle on can reach the overlap."""
-    na, nb, i, j = (F.col(c) for c in (na, nb, pa_, pb))
-    length = (100 * na >= percent * nb) & (100 * nb >= percent * na)
-    most = F.least(na - i, nb - j)
-    return length & ((100 + percent) * most.cast("long") >= percent * (na + nb).cast("long"))
+    with batches_of(spark, 256):
+        ranks = spark.sparkContext.broadcast(count_sketch(docs.select("text"), k))
+    rows = stored_rows = keep(signatures(docs, ranks, k, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
+
+    # equal sets are one node, named by its smallest row
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("best")
+    classes = keep(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), best), "classes")
+    single = keep(rows.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "doc_id", "n", "digest", "histogram", "prefix"), "nodes")
+    check = Links(single.drop("prefix"), docs.select("doc_id", "text"), k, percent)
+
+    posting = single.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", "node", "n", "pos")
+    found = keep(postings(posting.repartition(tasks(spark), "token").sortWithinPartitions("token"), percent), "postings", 8192)
+    first = found.filter("b is not null").select("a", "b", "na", "nb")
+    long = found.filter("b is null").select("token", F.col("a").alias("node"), F.col("na").alias("n"), "pos")
+
+    told = check.screen(first.unionAll(leaders_of(long, percent)))
+    check.hold(told.select(F.col("a").alias("node")).unionAll(told.select("b")).unionAll(long.select("node")))
+    check.verify(told)
+    unstore(told)
+    group = check.groups()
+    grouped = long.join(group.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node")).select("token", "node", "n", "group")
+    grouped = keep(grouped, "grouped")
+    unstore(group)
+    told = differing(grouped, check, ranks, percent)
+    if told is not None:
+        check.verify(told)
+        unstore(told)
+
+    group = check.groups()
+    named = classes.join(group.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node"))
+    least = named.groupBy(F.col("group").alias("g")).agg(F.min("best").alias("first"))
+    named = stored(named.join(least, F.col("group") == F.col("g")).select(F.col("digest").alias("d"), "node", "first"), "told")
+    check.forget()
+    for gone in (group, *used):
+        if gone is not stored_rows:
+            unstore(gone)
+    fields = "doc_id", "mark", "n"
+    out = rows.filter("n > 0").join(named, F.col("digest") == F.col("d")).select(*fields, F.col("first.doc_id").alias("component_id"), "node", "first")
+    none = rows.filter("n = 0").select(*fields, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(named.schema["first"].dataType).alias("first"))
+    return out.unionAll(none)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,88 +508,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored; an empty table gives an empty result. Links are exact but for 64-bit hashes of shingles. No list,
     group or candidate is capped: see the module's text for how long lists keep their links.
     """
-    spark = docs.sparkSession
-    batch_rows(spark, 256)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranks = spark.sparkContext.broadcast(count_sketch(slim.select("text"), k))
-    rows = stored(signatures(slim, ranks, k, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return row_groups(slim, k, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
-    # equal sets are one node, named by its smallest row
-    classes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    member = stored(rows.filter("n > 0").select("row", "digest").join(classes, "digest").select("row", "node"), "member")
-    copies = stored(member.filter("row <> node").select("row"), "copies")
-    single = rows.join(copies, "row", "left_anti")
-    check = Verifier(single.select(F.col("row").alias("node"), "doc_id", "digest", "histogram"), slim, k, percent)
-
-    posting = single.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("node"), "n").select("token", "node", "n", "pos")
-    batch_rows(spark, 8192)
-    found = stored(postings(posting.repartition(tasks(spark), "token").sortWithinPartitions("token"), percent), "postings")
-    first = found.filter("b is not null").select("a", "b", "na", "nb")
-    long = found.filter("b is null").select("token", F.col("a").alias("node"), F.col("na").alias("n"), "pos")
 
-    def pairs(left: DataFrame, right: DataFrame, more=F.lit(True)) -> DataFrame:
-        x = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
-        y = right.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"))
-        found = x.join(y, (F.col("token") == F.col("t")) & passes(percent) & more)
-        low, first = F.least("a", "b"), F.col("a") < F.col("b")
-        return found.select(low.alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"))
-
-    def grouped(part: DataFrame) -> DataFrame:
-        """Postings with their node's group so far."""
-        g = check.groups()
-        return part.join(g.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").drop("v").withColumn("group", F.coalesce("group", "node"))
-
-    def unsettled(part: DataFrame) -> DataFrame:
-        """The postings of lists that hold more than one group."""
-        part = stored(part, "grouped")
-        several = part.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").select(F.col("token").alias("t"))
-        return stored(part.join(several, F.col("token") == F.col("t"), "left_semi"), "unsettled")
-
-    long = long.withColumn("group", F.col("node"))
-    for turn in range(ROUNDS):
-        if turn and long.isEmpty():
-            break
-        # leaders for each list and span of sizes, the same for lists of the same nodes
-        span = F.floor((F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.12))) + F.lit(turn % 2)) / 2)
-        part = long.withColumn("span", span)
-        lucky = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)), "node", "n", "group")) for k in range(LEADERS)]
-        lead = part.groupBy(F.col("token").alias("lt"), F.col("span").alias("ls")).agg(F.array(*lucky).alias("leaders"))
-        # a leader may stand behind the first shingle that a pair shares, so only lengths count here
-        apart = F.filter("leaders", lambda l: (l["group"] != F.col("group")) & (100 * l["n"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * l["n"]))
-        found = part.join(lead, (F.col("token") == F.col("lt")) & (F.col("span") == F.col("ls"))).select(F.col("node").alias("a"), F.col("n").alias("na"), apart.alias("leaders"))
-        # a node meets a leader once, however many lists both stand in
-        found = found.groupBy("a").agg(F.first("na").alias("na"), F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
-        found = found.select("a", "na", F.explode("leaders").alias("l")).select("a", "na", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
-        low = F.col("a") < F.col("b")
-        led = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"))
-        check.verify(led if turn else first.unionAll(led))
-        long = unsettled(grouped(long.drop("group")))
-    if not long.isEmpty():
-        # exact for what is left: a list's largest group against the others, and these among themselves
-        per = long.groupBy("token", "group").agg(F.count(F.lit(1)).alias("c"))
-        top = per.groupBy(F.col("token").alias("t")).agg(F.max(F.struct("c", "group")).alias("m")).select("t", F.col("m.group").alias("main"))
-        marked = stored(long.join(top, F.col("token") == F.col("t")).withColumn("other", F.col("group") != F.col("main")).drop("t", "main"), "marked")
-        others, main = marked.filter("other"), marked.filter("not other")
-        check.verify(pairs(others, main).unionAll(pairs(others, others, (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")))))
-
-    groups = check.groups()
-    told = classes.join(groups.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node"))
-    least = told.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component_id"))
-    told = stored(told.join(least, F.col("group") == F.col("g")).select("node", "component_id"), "told")
-    final = stored(member.select("row", "node").join(told, "node").select(F.col("row").alias("r"), "component_id"), "components")
-    out = rows.select("row", "doc_id", "n").join(final, F.col("row") == F.col("r"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of their group, with all their columns; see ``jaccard_groups``.
-
-    Of rows that repeat a kept identifier one stays. Rows with a null identifier, and rows without words, stay.
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of ``docs``, with all its columns; see ``jaccard_groups``.
+
+    Of a group the row with the smallest identifier stays (nulls last), of rows that repeat it the one whose text has the smallest
+    hash, of rows that repeat that too any one. Rows without words stay. Columns of any name are kept.
     """
-    groups = jaccard_groups(docs, id_col, text_col, **options)
-    gone = stored(groups.filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("kg_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("kg_gone"), "left_anti")
-    repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
-    if repeats.isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNull()).unionAll(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    i, m = free_name(docs, "kg_id"), free_name(docs, "kg_mark")
+    keyed = docs.withColumns({i: F.col(id_col).cast("long"), m: F.xxhash64(F.col(text_col).cast("string"))})
+    rows = stored(row_groups(keyed.select(F.col(i).alias("doc_id"), F.col(m).alias("mark"), F.col(text_col).cast("string").alias("text")), k, percent).filter("n > 0").select("doc_id", "mark", "first"), "rows")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    gone = rows.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    gone = stored(gone, "gone")
+    same = lambda df, a, b: keyed_on(df, i, m, a, b)
+    kept = keyed.join(gone, same(keyed, gone.gone_id, gone.gone_mark), "left_anti")
+    again = rows.groupBy("doc_id", "mark").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark"))
+    again = stored(again, "again")
+    if not again.isEmpty():
+        on = same(kept, again.again_id, again.again_mark)
+        kept = kept.join(again, on, "left_anti").unionAll(kept.join(again, on, "left_semi").dropDuplicates([i, m]))
+    return kept.drop(i, m)
+
+
+def keyed_on(df: DataFrame, i: str, m: str, a, b):
+    return df[i].eqNullSafe(a) & (df[m] == b)

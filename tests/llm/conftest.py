@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 #: Extra columns whose names the operators use inside.
-CLASHES = "digest key n n_points token node row text_sha256 lang_pred score size source_size blocks block h kg_id kg_hash kg_digest group component label".split()
+CLASHES = "digest key n n_points token node row text_sha256 lang_pred score size source_size blocks block h kg_id kg_hash kg_digest kg_gone kg_mark kg_plan_id kg_plan_source kg_plan_h kg_plan_shard kg_language kg_shard gone_id first best group component label".split()
 
 
 @pytest.fixture(scope="session")

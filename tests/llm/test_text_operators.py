@@ -108,14 +108,51 @@ def test_jaccard_against_all_pairs(spark):
     assert got == brute.jaccard_components(rows)
 
 
-def test_jaccard_without_leader_rounds_or_short_lists(spark, monkeypatch):
-    rows, frame = near_docs(spark, 6)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
-    monkeypatch.setattr(jaccard, "HISTOGRAM", 64)
+@pytest.mark.parametrize(("short", "leaders", "seed"), [(1, 1, 6), (1, 2, 7), (4, 1, 8)])
+def test_jaccard_with_long_lists_only(spark, monkeypatch, short, leaders, seed):
+    rows, frame = near_docs(spark, seed)
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(frame).collect()}
     assert got == brute.jaccard_components(rows)
 
 
+def changed_copies(copies=700, words=150, seed=4):
+    """A large group: copies of one text, each changed at places of its own, of which many end just out of reach of all others."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 5000, words)]
+    rows = []
+    for i in range(copies):
+        x = list(base)
+        for k, at in enumerate(rng.choice(words, rng.integers(1, 6), replace=False)):
+            x[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(x)))
+    return rows
+
+
+def test_jaccard_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    rows, made, screen = changed_copies(), [], jaccard.Links.screen
+
+    def counted(self, pairs):
+        made.append(pairs.select("a", "b").distinct().count())
+        return screen(self, pairs)
+
+    monkeypatch.setattr(jaccard.Links, "screen", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expect = brute.jaccard_components(rows)
+    assert got == expect and len({c for _, c in expect.values()}) > 50  # a large group and many texts near it
+    assert sum(made) < 20 * len(rows)
+
+
+def test_distinct_documents_with_repeated_identifiers(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (1, b), (2, a), (1, a), (None, b), (None, "alone in the whole wide world"), (3, None), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as kg_id", "1 as gone_id", "2 as mark", "3 as first")
+    kept = jaccard.distinct_documents(frame)
+    assert kept.columns == frame.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in [(1, a), (1, b), (None, rows[5][1]), (3, None), (3, None)])
+
+
 def test_jaccard_on_edges(edge_docs, no_docs):
     got = jaccard.jaccard_groups(edge_docs).collect()
     assert len(got) == 13 and jaccard.jaccard_groups(no_docs).count() == 0
