@@ -79,9 +79,10 @@ def contract(p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
 
 def _contracted(batches):
     """(node, component) of links (a, b) that one task holds."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [x for x in batches if x.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     both = pa.concat_arrays([table.column(c).combine_chunks() for c in (0, 1)])
     node, at = np.unique(np.asarray(both, dtype=object if pa.types.is_string(both.type) or pa.types.is_binary(both.type) else None), return_inverse=True)
     low = contract(at[: table.num_rows], at[table.num_rows :], len(node))
