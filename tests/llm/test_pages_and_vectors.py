@@ -9,7 +9,7 @@ from kithgraph.llm.html_main import Page, main_text
 
 
 def clean(html):
-    return Page(html).content(set())
+    return Page(html).content(None)
 
 
 @pytest.mark.parametrize(
@@ -24,6 +24,8 @@ def clean(html):
         ("1 < 2 and <3 x &bogus; &#65;&#x42;", "1 < 2 and <3 x &bogus; AB"),
         ("<title>t</title><textarea><p>no", ""),
         ("", ""),
+        ("<nav>n</nav><article><p>one</article><div>between</div><article><p>two</article>", "one\ntwo"),
+        ("<p>" + "".join(f"<x{i}>" for i in range(30)) + "deep" + "".join(f"</x{i}>" for i in range(29, -1, -1)) + "<u1>after", "deepafter"),
         ("<p>a</p></div></p><p title='>'>b", "a\n\nb".replace("\n\n", "\n")),
     ],
 )
@@ -56,16 +58,73 @@ def test_articles_keep_repeated_prose(spark):
     assert {r["text"] for r in got} == {f"The same opening line.\nBody {i}" for i in range(9)}
 
 
+def test_recurrence_decides_on_large_hosts(spark):
+    """Menus that differ by page go by their shells, unmarked footers by their subtrees; a single aside is no template."""
+    rows = [(i, f"http://a.example/{i}", f"<nav><a href=1>To {i}</a></nav><article><h1>T{i}</h1><p>Body {i}</p></article>" + ("<aside>odd</aside>" if i == 3 else "") + "<div>All rights</div>") for i in range(9)]
+    rows += [(20 + i, f"http://b.example/{i}", rows[i][2]) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nBody {i}" + ("\nodd" if i == 3 else "") for i in range(9))
+    assert all(got[20 + i] == f"T{i}\nBody {i}" for i in range(4))
+
+
+def plain_subtrees(html):
+    """Every element's subtree as text, found by the standard library's parser, for pages whose elements are all closed."""
+    from html.parser import HTMLParser
+
+    stack, out = [("#", [])], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append((tag, []))
+
+        def handle_endtag(self, tag):
+            name, held = stack.pop()
+            assert name == tag
+            out.append((name, repr(held)))
+            stack[-1][1].append((name, repr(held)))
+
+        def handle_data(self, data):
+            if data.split():
+                stack[-1][1].append(" ".join(data.split()))
+
+    Reader().feed(html)
+    return out
+
+
+def test_templates_against_plain_counts(spark):
+    rng = np.random.default_rng(3)
+    menus, notes = [f"<ul><li>m{k}</li><li>x</li></ul>" for k in range(3)], [f"<div><b>note {k}</b></div>" for k in range(5)]
+    rows = []
+    for i in range(120):
+        body = f"<section><p>a story of its own, number {i}, longer than lines</p>" + "".join(f"<p>line {rng.integers(0, 200)}</p>" for _ in range(2)) + "</section>"
+        rows.append((i, f"http://h{rng.integers(0, 4)}.example/{i}", f"<div>{menus[rng.integers(0, 3)]}{notes[min(4, rng.geometric(0.5) - 1)]}</div>{body}"))
+    held, pages = {}, {}
+    for i, url, html in rows:
+        host = html_main.host_of(url)
+        pages.setdefault(host, set()).add(i)
+        for tree in set(plain_subtrees(html)):
+            if tree[0] in html_main.BLOCK:
+                held.setdefault((host, tree), set()).add(i)
+    expect = {}
+    for (host, _), at in held.items():
+        expect[host] = expect.get(host, 0) + (len(at) >= max(5, 0.1 * len(pages[host])))
+    found = html_main.subtrees(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = html_main.site_templates(found).filter(f"tree <> {html_main.SITE}").groupBy("host").count().collect()
+    assert {r["host"]: r["count"] for r in got} == {h: n for h, n in expect.items() if n}
+
+
 def test_pages_of_the_table(spark, data):
     import re
     from html import unescape
 
-    pages = spark.read.parquet(f"{data}/pages.parquet")
+    pages, changed = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet"), 0
     got = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<(br|/?b)>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+        changed += Page(r["html"]).content(set()) != got[r["page_id"]]
+    assert changed > 100  # without their site's templates
 
 
 def test_hosts():
@@ -115,6 +174,22 @@ def test_vectors_in_many_blocks(spark, data, monkeypatch):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == expected(rows)
 
 
+@pytest.mark.parametrize("size", [4, 16, 64, 256])
+def test_planted_links_are_found(spark, size):
+    """Pairs just within the threshold, with the shipped settings: 1,200 vectors in several cells, none lost."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(600, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.9801 * x + np.sqrt(1 - 0.9801**2) * away
+    v = np.concatenate([x, near])
+    frame = spark.createDataFrame([(k, row.tolist(), 1) for k, row in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(frame, per_cell=40).collect()}
+    assert [got[k] for k in range(1200)] == ((v @ v.T >= 0.98).sum(axis=1) - 1).tolist() and min(got.values()) >= 1
+
+
 @pytest.mark.parametrize(("size", "least"), [(4, 0.98), (6, 0.9)])
 def test_vectors_of_few_dimensions_meet_across_cells(spark, size, least):
     x = np.random.default_rng(size).normal(size=(500, size))
