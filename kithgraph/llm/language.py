@@ -11,14 +11,15 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codepoints, large, mix64, small_batches
+from .common import codepoints, large, mix64, small_batches, stored, tasks, unstore
 
 #: Documents of a language that are fitted on, about; known words of a language; longest n-gram; smoothing.
 FIT_DOCS, FIT_WORDS, ORDER, ALPHA = 2000, 30_000, 5, 0.5
-NOT_LETTERS = r"[^\p{L}\p{M}]+"
+#: Words are runs of letters and marks that hold a letter.
+NOT_LETTERS, LETTER = r"[^\p{L}\p{M}]+", r"\p{L}"
 #: Log-probabilities below the best language's by more than this count as this: no single word decides a text.
 FLOOR = 6.0
 
@@ -28,7 +29,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     lists = pc.split_pattern_regex(pc.utf8_lower(texts), NOT_LETTERS)
     owner = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
     flat = pc.list_flatten(lists)
-    keep = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    coded = flat.dictionary_encode()
+    # marks alone make no word
+    keep = np.asarray(pc.match_substring_regex(coded.dictionary, LETTER))[np.asarray(coded.indices)] if len(flat) else np.zeros(0, bool)
     return flat.filter(pa.array(keep)), owner[keep]
 
 
@@ -127,39 +130,36 @@ class Model:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", most_docs: int = FIT_DOCS, most_words: int = FIT_WORDS) -> Model:
-    """The model of the rows whose language isn't null, from about ``most_docs`` documents of each.
+    """The model of the rows whose language isn't null, from about ``most_docs`` different texts of each.
 
-    The sample is by a hash of the text, at the rate that each language's count gives, so it doesn't depend on
-    partitions. Of a language's words the ``most_words`` most frequent are known: both bound the model.
+    The sample is by a hash of the text, at the rate that each language's count of different texts gives, so it depends on neither
+    partitions nor copies: a text that many rows of a language hold counts once. Of a language's words the ``most_words`` most
+    frequent are known: both bound the model.
     """
     rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(5)))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not sizes:
         return Model([], {})
     rate = F.create_map(*[x for k, v in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, most_docs / v)))])
-    unit = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    picked = rows.filter(unit < rate[F.col("lang")])
-    words = picked.select("lang", F.explode(F.split(F.lower("text"), NOT_LETTERS)).alias("word")).filter("word <> ''")
-    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        found = []
-        for lang in sorted(totals):
-            top = counted.filter((F.col("lang") == lang) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(most_words)
-            found += [(lang, r["word"], r["n"]) for r in top.collect()]
-    finally:
-        counted.unpersist()
-    return Model(found, totals)
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """lang_pred and score of every row: doc_id first, or with ``keep`` after all columns of ``docs``.
+    picked = rows.filter(F.pmod("h", F.lit(1_000_000)) / 1_000_000 < rate[F.col("lang")])
+    # copies meet in their tasks first
+    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).repartition(tasks(train.sparkSession))
+    words = picked.select("lang", F.explode(F.split(F.lower("text"), NOT_LETTERS)).alias("word")).filter(F.col("word").rlike(LETTER))
+    counted = stored(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counted.filter("n > 1").withColumn("place", place).filter(F.col("place") <= most_words).orderBy("lang", "place").collect()
+    unstore(counted)
+    return Model([(r["lang"], r["word"], r["n"]) for r in top], totals)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """lang_pred and score of every row: after doc_id, or, in a struct column named ``keep``, after all columns of ``docs``.
 
     lang_pred is a learned language or ``und`` (null and empty texts, texts without a letter, no training rows);
     score is the mean posterior of the language over the text's words, 0 for ``und``. Equal totals go to
     the language first in order. Repeated rows and null identifiers are kept; an empty table gives an empty result.
-    ``keep`` puts both results into one struct column named kg_language.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -176,6 +176,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
     if keep:
-        return docs.withColumn("kg_language", classify(F.col(text_col).cast("string")))
+        return docs.withColumn(keep, classify(F.col(text_col).cast("string")))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), classify(F.col(text_col).cast("string")).alias("r"))
     return out.select("doc_id", "r.lang_pred", "r.score")

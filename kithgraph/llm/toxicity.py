@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, large, mix64, small_batches
+from .common import codepoints, large, mix64, small_batches, stored, tasks, unstore
 
-#: Lengths of n-grams, features kept, labelled texts of a class that are fitted on (about), least texts with a feature.
+#: Lengths of n-grams, features kept, labelled texts of a class that are fitted on (at most), least texts with a feature.
 ORDERS, FEATURES, FIT_TEXTS, LEAST = (3, 4, 5, 6), 4096, 4000, 4
 #: Characters handled at once, which bounds a worker's arrays whatever a text's length.
 CHUNK = 1 << 20
@@ -154,9 +154,10 @@ def regression(text: np.ndarray, feature: np.ndarray, scale: np.ndarray, label:
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most_texts: int = FIT_TEXTS, features: int = FEATURES) -> Model:
-    """The model of rows whose label is 0 or 1, from about ``most_texts`` texts of each class.
+    """The model of rows whose label is 0 or 1, from at most ``most_texts`` different texts of each class.
 
-    The sample is by a hash of the text, so it doesn't depend on partitions. The bias is an operating point; see
+    The sample holds the texts of the smallest hashes, each once however many rows repeat it, so it depends on neither partitions nor
+    copies. The bias is an operating point; see
     ``boundary``. Without texts of both classes the model scores the share of toxic ones.
     """
     spark = train.sparkSession
@@ -166,9 +167,13 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most
     if not n.get(0) or not n.get(1):
         share = np.clip(n.get(1, 0) / max(1, sum(n.values())), 1e-6, 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    unit = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_000)) / 1_000_000
-    picked = rows.filter(unit < F.when(F.col("label") == 1, min(1.0, most_texts / n[1])).otherwise(min(1.0, most_texts / n[0])))
-    picked = picked.repartition(12, "text").persist()
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(2)))
+    keys = stored(rows.groupBy("label", "h").count(), "keys")
+    upto = {c: keys.filter(F.col("label") == c).select("h").orderBy("h").limit(most_texts).agg(F.max("h").alias("m")).first()["m"] for c in (0, 1)}
+    unstore(keys)
+    picked = rows.filter(F.col("h") <= F.when(F.col("label") == 1, upto[1]).otherwise(upto[0]))
+    # copies meet in their tasks first
+    picked = stored(picked.groupBy("label", "h").agg(F.min("text").alias("text")).select("text", "label").repartition(tasks(spark)), "picked")
 
     def document_counts(batches):
         """Per batch of texts: in how many of each class an n-gram stands."""
@@ -193,31 +198,29 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most
                 neg = np.bincount(inv, minlength=len(keys)) - pos
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(neg)], ["key", "pos", "neg"])
 
-    try:
-        sizes = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
-        p, q = sizes.get(1, 0), sizes.get(0, 0)
-        counts = picked.mapInArrow(document_counts, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        # distance from chance: (observed - expected)^2 / expected, summed over both classes
-        seen, share = F.col("pos") + F.col("neg"), p / max(1, p + q)
-        gap = F.col("pos") - seen * share
-        counts = counts.filter(seen >= LEAST).withColumn("chi", gap * gap / (seen * share * (1 - share) + 1e-9))
-        top = counts.orderBy(F.desc("chi"), "key").limit(features).collect()
-        keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-        pos, neg = (np.array([r[k] for r in top], float) for k in ("pos", "neg"))
-        ratio = np.log(((pos + 1) / (p + 2)) / ((neg + 1) / (q + 2)))
-        model = Model(keys, ratio, 0.0)
-        sent = spark.sparkContext.broadcast(pickle.dumps(model))
-
-        def held_features(batches):
-            m = pickle.loads(sent.value)
-            for batch in batches:
-                text, feature = m.hits(large(batch.column(0)))
-                lists = np.split(feature.astype(np.int32), np.searchsorted(text, np.arange(1, batch.num_rows)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], ["label", "features"])
-
-        found = picked.mapInArrow(held_features, "label int, features binary").collect()
-    finally:
-        picked.unpersist()
+    sizes = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    p, q = sizes.get(1, 0), sizes.get(0, 0)
+    counts = picked.mapInArrow(document_counts, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # distance from chance: (observed - expected)^2 / expected, summed over both classes
+    seen, share = F.col("pos") + F.col("neg"), p / max(1, p + q)
+    gap = F.col("pos") - seen * share
+    counts = counts.filter(seen >= LEAST).withColumn("chi", gap * gap / (seen * share * (1 - share) + 1e-9))
+    top = counts.orderBy(F.desc("chi"), "key").limit(features).collect()
+    keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    pos, neg = (np.array([r[k] for r in top], float) for k in ("pos", "neg"))
+    ratio = np.log(((pos + 1) / (p + 2)) / ((neg + 1) / (q + 2)))
+    model = Model(keys, ratio, 0.0)
+    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    def held_features(batches):
+        m = pickle.loads(sent.value)
+        for batch in batches:
+            text, feature = m.hits(large(batch.column(0)))
+            lists = np.split(feature.astype(np.int32), np.searchsorted(text, np.arange(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], ["label", "features"])
+
+    found = picked.mapInArrow(held_features, "label int, features binary").collect()
+    unstore(picked)
     found.sort(key=lambda r: (r["label"], bytes(r["features"])))
     label = np.array([r["label"] for r in found], float)
     lists = [np.frombuffer(r["features"], np.int32) for r in found]
