@@ -7,6 +7,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.tables import components, delete_path, forget_path, fresh_path, shared_dir, stored, unstore  # noqa: F401
 
@@ -16,6 +17,10 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a slim table up to which it is broadcast, counted first (at most some 30 MB); beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,6 +44,11 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slim_join(df: DataFrame, slim: DataFrame, on, how: str) -> DataFrame:
+    """``df`` joined with a stored slim table, which is broadcast if its count says that it is small."""
+    return df.join(F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim, on, how)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

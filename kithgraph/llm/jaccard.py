@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, free_name, large, mix64, stored, tasks, unstore, utf8
+from .common import batches_of, components, free_name, large, mix64, slim_join, stored, tasks, unstore, utf8
 
 WORDS, PERCENT = 5, 80
 #: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, leaders of a list and span of sizes, parts
@@ -249,6 +249,7 @@ class Links:
         """``nodes``: node, doc_id, n, digest, histogram of all nodes; ``docs``: doc_id, text."""
         self.nodes, self.docs, self.k, self.percent = nodes, docs, k, percent
         self.found: list[DataFrame] = []
+        self.spent: list[DataFrame] = []
         self.sets = None
 
     def hold(self, needed: DataFrame) -> None:
@@ -312,8 +313,11 @@ class Links:
             return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db", "ha", "hb").mapInArrow(suffix, "a long, b long, da binary, db binary"), "pairs")
 
     def with_sets(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (.., da, db) with both sets, sa and sb."""
-        left, right = self.sets.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), self.sets.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
+        """``pairs`` (.., da, db; a stored table) with both sets, sa and sb. Only sets of these pairs move."""
+        used = stored(pairs.select(F.col("da").alias("used")).unionAll(pairs.select("db")).distinct(), "used")
+        self.spent.append(used)
+        sets_ = slim_join(self.sets, used, F.col("digest") == F.col("used"), "left_semi")
+        left, right = sets_.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), sets_.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
         return pairs.join(right, "db").join(left, "da")
 
     def verify(self, told: DataFrame) -> None:
@@ -343,8 +347,9 @@ class Links:
         apart = told.join(one.select("a", "b"), ["a", "b"], "left_anti")
         for end in "ab":
             apart = apart.join(group.select(F.col("node").alias(end), F.col("group").alias(f"g{end}")), end, "left").withColumn(f"g{end}", F.coalesce(f"g{end}", end))
-        self.found.append(linked(apart.filter("ga <> gb").select("a", "b", "da", "db")))
-        for gone in (one, group):
+        apart = stored(apart.filter("ga <> gb").select("a", "b", "da", "db"), "apart")
+        self.found.append(linked(apart))
+        for gone in (one, group, apart):
             unstore(gone)
 
     def groups(self) -> DataFrame:
@@ -354,7 +359,7 @@ class Links:
         return stored(components(links).select("node", F.col("component").alias("group")), "groups")
 
     def forget(self) -> None:
-        for gone in (*self.found, *([self.sets] if self.sets is not None else [])):
+        for gone in (*self.found, *self.spent, self.sets):
             unstore(gone)
 
 
@@ -398,7 +403,7 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     digest = check.nodes.select(F.col("node").alias("v"), "digest")
     named = cells.join(often, F.col("home") == F.col("g")).drop("g")
     named = named.join(digest.withColumnRenamed("digest", "da"), F.col("node") == F.col("v")).drop("v")
-    named = named.join(digest.withColumnRenamed("digest", "db"), F.col("pivot") == F.col("v")).drop("v")
+    named = stored(named.join(digest.withColumnRenamed("digest", "db"), F.col("pivot") == F.col("v")).drop("v"), "named")
 
     def compare(batches):
         rank = ranks.value
@@ -440,7 +445,7 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     x, y = (kept.select("pivot", "token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("group").alias(f"g{e}"), F.col("u").alias(f"u{e}"), F.col("cap").alias(f"cap{e}")) for e in "ab")
     found = x.join(y, ["pivot", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.col("ua") <= F.col("capb")) & (F.col("ub") <= F.col("capa")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     out = check.screen(found.select("a", "b", "na", "nb"))
-    for gone in (cells, compared, some, kept):
+    for gone in (cells, named, compared, some, kept):
         unstore(gone)
     return out
 
@@ -463,8 +468,9 @@ def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # equal sets are one node, named by its smallest row
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("best")
     classes = keep(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), best), "classes")
-    single = keep(rows.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "doc_id", "n", "digest", "histogram", "prefix"), "nodes")
-    check = Links(single.drop("prefix"), docs.select("doc_id", "text"), k, percent)
+    copies = keep(rows.filter("n > 0").select("row", "digest").join(classes.select(F.col("digest").alias("d"), "node"), F.col("digest") == F.col("d")).filter("row <> node").select(F.col("row").alias("copy")), "copies")
+    single = slim_join(rows.filter("n > 0"), copies, F.col("row") == F.col("copy"), "left_anti").withColumnRenamed("row", "node")
+    check = Links(keep(single.select("node", "doc_id", "n", "digest", "histogram"), "nodes"), docs.select("doc_id", "text"), k, percent)
 
     posting = single.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", "node", "n", "pos")
     found = keep(postings(posting.repartition(tasks(spark), "token").sortWithinPartitions("token"), percent), "postings", 8192)

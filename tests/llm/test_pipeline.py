@@ -69,3 +69,22 @@ def test_run(spark, data):
 
     out = corpus_pipeline.run(spark, data)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_stages_on_edges(spark, data, edge_docs, no_docs, tmp_path):
+    """Nulls, repeated rows, long texts and clashing names pass every stage; an empty table gives an empty result."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, edge_docs, data)
+        assert stage(spark, no_docs, data).count() == 0
+        if name != "packing":
+            assert out.columns == edge_docs.columns
+        ids = Counter(r["doc_id"] for r in out.collect())
+        if name == "exact dedup":
+            assert ids == Counter({1: 1, 3: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1, None: 1, 11: 1}) or sum(ids.values()) == 9
+        if name == "near dedup":
+            assert ids == Counter([1, 3, 4, 5, 6, 8, 9, 10, None, 11])
+    language = corpus_pipeline.known_language
+    assert {r["doc_id"] for r in language(spark, edge_docs, data).collect()} <= {1, 2, 6, 7, 8, 9, None, 11}
+    assert language(spark, no_docs, data).count() == 0 and language(spark, edge_docs, data).columns == edge_docs.columns

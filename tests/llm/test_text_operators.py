@@ -78,6 +78,31 @@ def test_several_triggers_agree_with_one(docs):
     assert many.exceptAll(dedup_exact.exact_groups(docs).drop("locator")).isEmpty()
 
 
+def test_state_outlives_a_run(spark, docs, tmp_path):
+    halves = [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1").repartition(3).unionAll(docs.filter("doc_id = 1"))]
+    state, columns = f"file://{tmp_path}/state", ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    for half in halves:
+        last = dedup_exact.exact_groups(half, state=state).select(columns).collect()
+    whole = dedup_exact.exact_groups(docs.unionAll(docs.filter("doc_id = 1"))).select(columns).collect()
+    assert sorted(map(str, dedup_exact.held_groups(spark, state).select(columns).collect())) == sorted(map(str, whole))
+    assert sorted(map(str, last)) == sorted(str(r) for r in whole if r["doc_id"] % 2 == 1)
+    assert dedup_exact.exact_groups(halves[0].limit(0), state=state).count() == 0
+
+
+def test_bytes_are_compared_with_earlier_runs(spark, tmp_path):
+    weak = lambda c: F.substring(dedup_exact.sha256(c), 1, 0)
+    rows = [(i, f"text {i % 5}") for i in range(20)]
+    for part in (rows[:9], rows[9:]):
+        got = dedup_exact.exact_groups(spark.createDataFrame(part, "doc_id long, text string"), digest=weak, state=f"file://{tmp_path}/state").collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, i % 5, 4) for i in range(9, 20)}
+
+
+def test_locators_find_rows_and_stay(docs):
+    got = {r["doc_id"]: r["locator"] for r in dedup_exact.exact_groups(docs).collect()}
+    there = {(r["f"], r["p"]): r["doc_id"] for r in docs.selectExpr("doc_id", "_metadata.file_path f", "_metadata.row_index p").collect()}
+    assert all(there[v["file"], v["position"]] == i for i, v in got.items())
+
+
 # ---------------------------------------------------------------- Jaccard
 
 
@@ -297,6 +322,36 @@ def test_mixing(docs, texts, edge_docs, no_docs):
     assert len(edge) == 13 and mixing.mix_plan(no_docs).count() == 0 and mixing.mixed(edge_docs).columns == edge_docs.columns
 
 
+def test_shards_are_partitions(spark, docs, tmp_path):
+    got = mixing.mix_plan(docs, shards=6, block_docs=8).collect()
+    mixing.mixed(docs, shards=6, block_docs=8).write.parquet(f"{tmp_path}/mix")
+    files = defaultdict(Counter)
+    for r in spark.read.parquet(f"{tmp_path}/mix").selectExpr("doc_id", "_metadata.file_name f").collect():
+        files[r["f"]][r["doc_id"]] += 1
+    expect = defaultdict(Counter)
+    for r in got:
+        for k in r["shards"]:
+            expect[k][r["doc_id"]] += 1
+    assert sorted(map(sorted, (c.items() for c in files.values()))) == sorted(map(sorted, (c.items() for c in expect.values())))
+    units = [sum(c.values()) for c in expect.values()]
+    assert len(units) == 6 and max(units) - min(units) < 0.5 * max(units)
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c d", "s")] * 700 + [(None, "e f", "s")] * 90 + [(i, "g " * (i % 9), "t") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_plan(frame, block_docs=64).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"], r["target"]] += r["taken"]
+    assert len(got) == len(rows) and all(0 <= target - words < 9 for (_, target), words in taken.items())
+    assert Counter(r["doc_id"] for r in mixing.mixed(frame, block_docs=64).collect()) == sum((Counter({r["doc_id"]: r["copies"]}) for r in got), Counter())
+
+
+def test_shard_counts_follow_the_size():
+    assert [mixing.shard_count(x) for x in (0, 1e6, 1e9, 1e12, 1.5e13)] == [1, 1, 239, 7451, 111759]
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 100, 100], [3, 1, 2], 315, 2) == pytest.approx([20, 98.333333333, 196.666666667])
     assert mixing.water_fill([10, 0], [3, 1], 100, 2) == [20, 0.0] and mixing.water_fill([], [], 0, 2) == []
@@ -325,7 +380,87 @@ def test_language(docs, texts, edge_docs, no_docs):
     assert language.predict(no_docs, model).count() == 0
     none = language.fit(no_docs)
     assert {r["lang_pred"] for r in language.predict(edge_docs, none).collect()} == {"und"}
-    assert language.predict(edge_docs, model, keep=True).columns == [*edge_docs.columns, "kg_language"]
+    assert language.predict(edge_docs, model, keep="told").columns == [*edge_docs.columns, "told"]
+
+
+def test_marks_are_no_letters():
+    import pyarrow as pa
+
+    model = language.Model([("aa", "kato", 5)], {"aa": 5})
+    langs, score = model.predict(pa.array(["\u0301", "1 \u0301 2", "e\u0301", "kato \u0301"], pa.large_string()))
+    assert langs == ["und", "und", "aa", "aa"] and score[0] == score[1] == 0
+
+
+def plain_language(rows, texts):
+    """Word-first backoff in plain Python: rows (language, text) to learn from, then the language of each text."""
+    import math
+    import unicodedata
+
+    letter = lambda c: unicodedata.category(c)[0] in "LM"
+    words = lambda t: [w for w in "".join(c if letter(c) else " " for c in t.lower()).split(" ") if any(unicodedata.category(c)[0] == "L" for c in w)]
+    seen, total = defaultdict(Counter), Counter()
+    for lang, t in rows:
+        for w in words(t):
+            seen[lang][w] += 1
+            total[lang] += 1
+    langs = sorted(total)
+    for lang in langs:
+        seen[lang] = Counter({w: n for w, n in seen[lang].items() if n > 1})
+    known = sorted({w for c in seen.values() for w in c})
+
+    def logs(counts, sizes, number):
+        raw = [math.log((c + 0.5) / (s + 0.5 * number)) for c, s in zip(counts, sizes, strict=True)]
+        return [max(x, max(raw) - 6.0) for x in raw]
+
+    by_word = {w: logs([seen[x][w] for x in langs], [total[x] for x in langs], len(known)) for w in known}
+    by_gram = []
+    for n in range(1, 6):
+        held = defaultdict(lambda: [0.0] * len(langs))
+        for w in known:
+            for g in (f"\0{w}\0"[i : i + n] for i in range(len(w) + 3 - n)):
+                for j, x in enumerate(langs):
+                    held[g][j] += math.log1p(seen[x][w])
+        sizes = [sum(v[j] for v in held.values()) for j in range(len(langs))]
+        often = {g: v for g, v in held.items() if sum(v) >= (2.0 if n > 2 else 0.5)}
+        by_gram.append({g: logs(v, sizes, len(often)) for g, v in often.items()})
+
+    def score(w):
+        if w in by_word:
+            return by_word[w]
+        for n in range(5, 0, -1):
+            hit = [by_gram[n - 1][g] for g in (f"\0{w}\0"[i : i + n] for i in range(len(w) + 3 - n)) if g in by_gram[n - 1]]
+            if hit:
+                return [sum(x) / len(hit) for x in zip(*hit, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        sums = [sum(x) for x in zip(*map(score, words(t)), strict=True)]
+        out.append(langs[max(range(len(langs)), key=lambda j: sums[j])] if sums else "und")
+    return out
+
+
+def test_language_against_a_plain_version(spark, texts):
+    rows = [(i, r["text"], r["lang"]) for i, r in list(texts.items())[:60]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(frame, language.fit(frame.filter("doc_id % 3 > 0"))).collect()}
+    learned = {t: (x, t) for i, t, x in rows if i % 3 > 0 and x is not None and t is not None}  # a text counts once
+    expect = plain_language(learned.values(), [t or "" for _, t, _ in rows])
+    assert [got[i] for i, _, _ in rows] == expect
+
+
+def test_a_heavy_text_counts_once(spark):
+    rows = [("aa", "kato kata kato")] * 300 + [("bb", "zuma zume zuma"), ("bb", "kato zume"), ("aa", "kata kato")]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    once = spark.createDataFrame(sorted(set(rows)), frame.schema)
+    a, b = language.fit(frame), language.fit(once)
+    assert a.words == b.words and (a.word_scores == b.word_scores).all()
+    bad = spark.createDataFrame([("you idiot of a fool", 1)] * 400 + [(f"fine day number {i} here", 0) for i in range(40)] + [(f"idiot fool {i}", 1) for i in range(40)], "text string, toxic int")
+    a, b = toxicity.fit(bad), toxicity.fit(bad.distinct())
+    assert (a.keys == b.keys).all() and np.allclose(a.weights, b.weights) and len(a.keys)
+    # the smallest hashes, exactly as many as asked for
+    few = toxicity.fit(bad, most_texts=10, features=50)
+    assert len(few.keys) <= 50
 
 
 def test_language_backs_off_to_shorter_ngrams():
@@ -358,6 +493,27 @@ def test_toxicity(spark, data, docs, edge_docs, no_docs):
     assert all(r["score"] < 0.01 for r in toxicity.score(frame, flat).collect())
 
 
+def test_toxicity_on_the_labels(spark, data):
+    folder = data.replace("sf0.001", "sf0.01")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").filter("toxic is not null").collect()}
+    got = [r for r in queries.op2_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in truth]
+    hit = sum(r["predicted"] and truth[r["doc_id"]] for r in got)
+    false, missed = sum(r["predicted"] for r in got) - hit, sum(truth[r["doc_id"]] for r in got) - hit
+    assert len(got) > 50 and 2 * hit >= 1.2 * (hit + (false + missed) / 2), (hit, false, missed)
+
+
+def test_count_ratios_against_plain_counts(spark):
+    rows = [("bad cat", 1), ("bad bad dog", 1), ("good cat", 0), ("good dog", 0), ("bad cow", 1), ("good cow", 0), ("bad owl", 1), ("good owl", 0)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), features=100)
+    held = {x: Counter(g for t, y in rows if y == x for g in {f" {t} "[i : i + n] for n in toxicity.ORDERS for i in range(len(t) + 3 - n)}) for x in (0, 1)}
+    grams = {g for c in held.values() for g in c}
+    keys = {g: int(toxicity.grams(np.array([*map(ord, g), 0], np.uint32), len(g))[0]) for g in grams}
+    often = {keys[g] for g in grams if held[0][g] + held[1][g] >= toxicity.LEAST}
+    assert set(model.keys.tolist()) == often
+    sign = {keys[g]: np.sign(held[1][g] - held[0][g]) for g in grams}
+    assert all(w * sign[int(k)] >= 0 for k, w in zip(model.keys, model.weights, strict=True))
+
+
 def test_toxicity_of_long_texts_in_parts(monkeypatch):
     import pyarrow as pa
 
