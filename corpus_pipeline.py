@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: language ID, exact deduplication, near-duplicate removal, mixing, packing."""
+"""A corpus pipeline over ``documents``: language ID, exact deduplication, near-duplicate removal, mixing, packing.
+
+Stages keep further columns of any name, rows that repeat a doc_id (unless they are copies) and null doc_ids and sources; an empty
+table gives an empty result of the same columns; texts of any length are read whole; ties are broken as each stage says.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.functions.ship import ship
-from kithgraph.llm.common import stored, unstore
+from kithgraph.llm.common import free_name, stored, unstore
 from kithgraph.llm.dedup_exact import deduplicated
 from kithgraph.llm.jaccard import distinct_documents
 from kithgraph.llm.language import fit, predict
@@ -19,19 +23,22 @@ LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents of a language learned from ``docs`` itself; those without letters, or whose words fit no language, go."""
+    """Documents of a language learned from ``docs`` itself; those without letters (null and empty texts too), or whose words fit no
+    language, go. Without any learned language all go, as none has a language."""
     ship(spark)
-    told = predict(docs, fit(docs.filter(fold(4) != 2)), keep=True)
-    return told.filter((F.col("kg_language.lang_pred") != "und") & (F.col("kg_language.score") >= LEAST_SCORE)).drop("kg_language")
+    told = free_name(docs, "kg_language")
+    out = predict(docs, fit(docs.filter(fold(4) != 2)), keep=told)
+    return out.filter((F.col(told)["lang_pred"] != "und") & (F.col(told)["score"] >= LEAST_SCORE)).drop(told)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then the smallest doc_id (nulls last), then the first row."""
     return deduplicated(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group linked by a similarity of 0.8 on five-word shingles."""
+    """One document, of the smallest doc_id (nulls last), of each group linked by a similarity of 0.8 on five-word shingles;
+    documents without words stay."""
     ship(spark)
     return distinct_documents(docs)
 
