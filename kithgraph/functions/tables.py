@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -77,6 +78,19 @@ def contract(p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
         low = new
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """The values of a column, as numpy orders them; a struct's as records."""
+    if pa.types.is_struct(column.type):
+        return np.rec.fromarrays([_values(x) for x in column.flatten()], names=[f.name for f in column.type])
+    return np.asarray(column, dtype=object if pa.types.is_string(column.type) else None)
+
+
+def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_column(values[f.name], f.type) for f in kind], fields=list(kind))
+    return pa.array(values, kind)
+
+
 def _contracted(batches):
     """(node, component) of links (a, b) that one task holds."""
     held = [x for x in batches if x.num_rows]
@@ -84,9 +98,9 @@ def _contracted(batches):
         return
     table = pa.Table.from_batches(held)
     both = pa.concat_arrays([table.column(c).combine_chunks() for c in (0, 1)])
-    node, at = np.unique(np.asarray(both, dtype=object if pa.types.is_string(both.type) or pa.types.is_binary(both.type) else None), return_inverse=True)
+    node, at = np.unique(_values(both), return_inverse=True)
     low = contract(at[: table.num_rows], at[table.num_rows :], len(node))
-    yield pa.RecordBatch.from_arrays([pa.array(x, both.type) for x in (node, node[low])], ["node", "component"])
+    yield pa.RecordBatch.from_arrays([_column(x, both.type) for x in (node, node[low])], ["node", "component"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -101,7 +115,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     cur = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
     number = cur.count()
     kind = cur.schema["a"].dataType.simpleString()
-    if number <= LINKS_PER_TASK and kind in ("int", "bigint", "string"):
+    if number <= LINKS_PER_TASK and set(re.sub(r"struct<|\w+:|>", "", kind).split(",")) <= {"int", "bigint", "string"}:
         ship(cur.sparkSession)
         out = stored(cur.coalesce(1).mapInArrow(_contracted, f"node {kind}, component {kind}"), "cc")
         unstore(cur)

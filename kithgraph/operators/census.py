@@ -6,7 +6,7 @@ tied, Q = sum of S_ik squared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import INF, NAN, nan_div
@@ -202,50 +202,79 @@ def triad_class(code: int) -> str:
     return name
 
 
+def _flip(d: int) -> int:
+    """A dyad's two arcs (bit 0: from the first vertex, bit 1: to it) seen from its other end."""
+    return (d & 1) << 1 | d >> 1
+
+
+def _kind(d: int, directed: bool) -> str:
+    return ("102" if d == 3 else "012") if directed else "1"
+
+
+def _class(d1: int, d2: int, d3: int, directed: bool) -> str:
+    return triad_class(d1 + 4 * d2 + 16 * d3) if directed else str((d1 > 0) + (d2 > 0) + (d3 > 0))
+
+
+def _wedge_rules(directed: bool) -> list[tuple[int, str, int]]:
+    """(types p <= q of a wedge's dyads as 4 p + q, triad, times it counts): an open triad, and none with one tied dyad less for each."""
+    return [(4 * p + q, triad, times) for p in (1, 2, 3) for q in range(p, 4) for triad, times in ((_class(p, q, 0, directed), 1), (_kind(p, directed), -1), (_kind(q, directed), -1))]
+
+
+def _triangle_rules(directed: bool) -> list[tuple[int, str, int]]:
+    """(code of a triangle, triad, times): the triangle itself; each of its three wedges is no open triad; each dyad is in two of them."""
+    out = []
+    for code in range(64):
+        ab, ac, bc = code & 3, code >> 2 & 3, code >> 4
+        if ab and ac and bc:
+            out.append((code, _class(ab, ac, bc, directed), 1))
+            out += [(code, _class(*wedge, 0, directed), -1) for wedge in ((ab, ac), (_flip(ab), bc), (_flip(ac), _flip(bc)))]
+            out += [(code, _kind(d, directed), 1) for d in (ab, ac, bc)]
+    return out
+
+
 @observed
 def triad_census(net: Net) -> DataFrame:
     """triad, n: a row a class. Directed: 16 classes; undirected: 4, by number of ties.
 
-    Only triads with at least two tied dyads are enumerated, from pairs of neighbours: a triad whose three dyads
-    are tied at its smallest vertex, another at its centre. Triads with one tied dyad follow from degrees and
-    common neighbours, empty ones from the total.
+    Only triangles are enumerated, each at its vertex of lowest degree, so a hub's pairs of neighbours never are. Pairs of ties that
+    meet follow from the degrees of each kind; those that close a triangle are taken off; triads with one tied dyad follow
+    from the dyads and these, empty ones from the total.
     """
-    spark = net.spark
-    und = net.symmetrized("weak")
-    x, y = und.select("gid", F.col("u").alias("c"), F.col("v").alias("a")), und.select("gid", F.col("u").alias("c"), F.col("v").alias("b"))
-    closing = und.select("gid", F.col("u").alias("a"), F.col("v").alias("b"), F.lit(True).alias("closed"))
-    wedges = x.join(y, ["gid", "c"]).filter("a < b").join(closing, ["gid", "a", "b"], "left").filter("closed is null or c < a")
-    degree = und.groupBy("gid", "u").agg(F.count(F.lit(1)).alias("k"))
-    common = x.join(y, ["gid", "c"]).filter("a < b").join(closing, ["gid", "a", "b"], "left_semi").groupBy("gid", "a", "b").agg(F.count(F.lit(1)).alias("common"))
-    # a tied dyad with every third vertex that neither end knows
-    pairs = und.filter("u < v").select("gid", F.col("u").alias("a"), F.col("v").alias("b"))
-    lone = pairs.join(degree.select("gid", F.col("u").alias("a"), F.col("k").alias("ka")), ["gid", "a"]).join(degree.select("gid", F.col("u").alias("b"), F.col("k").alias("kb")), ["gid", "b"])
-    lone = net.with_n(lone.join(common, ["gid", "a", "b"], "left")).withColumn("alone", F.col("n") - F.col("ka") - F.col("kb") + F.coalesce("common", F.lit(0)))
-    if net.directed:
-        arcs = net.arcs().select("gid", F.col("src").alias("s"), F.col("dst").alias("t"), F.lit(1).alias("one"))
-        # each dyad's two arcs as one number, seen from its smaller vertex
-        dyad = arcs.groupBy("gid", F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).agg(F.sum(F.when(F.col("s") < F.col("t"), 1).otherwise(2)).alias("d"))
-        seen = dyad.unionAll(dyad.select("gid", F.col("v").alias("u"), F.col("u").alias("v"), F.when(F.col("d") == 3, 3).otherwise(3 - F.col("d")).alias("d")))
-
-        def from_(p: str, q: str, name: str):
-            return seen.select("gid", F.col("u").alias(p), F.col("v").alias(q), F.col("d").alias(name))
-
-        # letters as in triad_class: a is the centre c here, b and c its neighbours
-        coded = wedges.join(from_("c", "a", "d1"), ["gid", "c", "a"]).join(from_("c", "b", "d2"), ["gid", "c", "b"]).join(from_("a", "b", "d3"), ["gid", "a", "b"], "left")
-        code = F.col("d1") + 4 * F.col("d2") + 16 * F.coalesce("d3", F.lit(0))
-        table = spark.createDataFrame([(i, triad_class(i)) for i in range(64)], "code long, triad string")
-        many = coded.groupBy("gid", code.cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table), "code").select("gid", "triad", "n")
-        kind = dyad.select("gid", F.col("u").alias("a"), F.col("v").alias("b"), "d")
-        few = lone.join(kind, ["gid", "a", "b"]).groupBy("gid", F.when(F.col("d") == 3, "102").otherwise("012").alias("triad")).agg(F.sum("alone").alias("n"))
-        names, empty = TRIADS, "003"
-    else:
-        many = wedges.groupBy("gid", F.when(F.col("closed").isNull(), "2").otherwise("3").alias("triad")).agg(F.count(F.lit(1)).alias("n"))
-        few = lone.groupBy("gid", F.lit("1").alias("triad")).agg(F.sum("alone").alias("n"))
-        names, empty = ("0", "1", "2", "3"), "0"
-    found = many.unionAll(few).groupBy("gid", "triad").agg(F.sum("n").alias("n"))
+    spark, directed = net.spark, net.directed
+    # each dyad's two arcs as one number, seen from its smaller vertex; an undirected tie is both
+    dyad = net.arcs().groupBy("gid", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum(F.when(F.col("src") < F.col("dst"), 1).otherwise(2)).cast("int").alias("d"))
+    flipped = F.when(F.col("d") == 3, 3).otherwise(3 - F.col("d")).cast("int")
+    seen = dyad.unionAll(dyad.select("gid", F.col("v").alias("u"), F.col("u").alias("v"), flipped.alias("d")))
+    kinds = seen.groupBy("gid", F.col("u").alias("vid")).agg(F.count(F.lit(1)).alias("k"), *[F.sum((F.col("d") == t).cast("long")).alias(f"k{t}") for t in (1, 2, 3)])
+    pair = lambda p, q: F.col(f"k{p}") * (F.col(f"k{p}") - 1) / 2 if p == q else F.col(f"k{p}") * F.col(f"k{q}")
+    sums = kinds.groupBy("gid").agg(F.sum("k1").alias("asym"), (F.sum("k3") / 2).cast("long").alias("mutual"), *[F.sum(pair(p, q)).cast("long").alias(f"w{4 * p + q}") for p in (1, 2, 3) for q in range(p, 4)])
+
+    # triangles: ties lead from lower to higher degree, so few leave any vertex
+    low = kinds.select("gid", F.col("vid").alias("u"), F.col("k").alias("ku"))
+    high = kinds.select("gid", F.col("vid").alias("v"), F.col("k").alias("kv"))
+    ends = seen.join(low, ["gid", "u"]).join(high, ["gid", "v"]).filter(F.struct("ku", "u") < F.struct("kv", "v"))
+
+    def tie(a: str, b: str, d: str):
+        return ends.select("gid", F.col("u").alias(a), F.col("v").alias(b), F.col("kv").alias(f"k{b}"), F.col("d").alias(d))
+
+    wedges = tie("a", "b", "d1").join(tie("a", "c", "d2"), ["gid", "a"]).filter(F.struct("kb", "b") < F.struct("kc", "c"))
+    closed = wedges.join(tie("b", "c", "d3").drop("kc"), ["gid", "b", "c"])
+    triangles = closed.groupBy("gid", (F.col("d1") + 4 * F.col("d2") + 16 * F.col("d3")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+    def ruled(counts: DataFrame, rules) -> DataFrame:
+        table = spark.createDataFrame(rules, "code int, triad string, times int")
+        return counts.join(F.broadcast(table), "code").select("gid", "triad", (F.col("n") * F.col("times")).alias("n"))
+
+    found = ruled(triangles, _triangle_rules(directed))
+    wide = F.explode(F.array(*[F.struct(F.lit(4 * p + q).alias("code"), F.col(f"w{4 * p + q}").alias("n")) for p in (1, 2, 3) for q in range(p, 4)]))
+    found = found.unionAll(ruled(sums.select("gid", wide.alias("w")).select("gid", "w.code", "w.n"), _wedge_rules(directed)))
+    for name, kind in (("mutual", 3), ("asym", 1)):  # each tied dyad with every third vertex
+        found = found.unionAll(net.with_n(sums).select("gid", F.lit(_kind(kind, directed)).alias("triad"), (F.col(name) * (F.col("n") - 2)).alias("n")))
+    found = found.groupBy("gid", "triad").agg(F.sum("n").alias("n"))
+    names, empty = (TRIADS, "003") if directed else (("0", "1", "2", "3"), "0")
     every = net.sizes().withColumn("triad", F.explode(F.array(*[F.lit(x) for x in names])))
     got = every.withColumnRenamed("n", "size").join(found, ["gid", "triad"], "left").fillna(0, ["n"])
-    rest = found.groupBy("gid").agg(F.sum("n").alias("tied"))
+    tied = Window.partitionBy("gid")  # a row a class
     all_ = F.expr("size * (size - 1) * (size - 2) div 6")
-    got = got.join(rest, "gid", "left").withColumn("n", F.when(F.col("triad") == empty, all_ - F.coalesce("tied", F.lit(0))).otherwise(F.col("n")))
+    got = got.withColumn("n", F.when(F.col("triad") == empty, all_ - F.sum("n").over(tied)).otherwise(F.col("n")))
     return net.out(got.select("gid", "triad", F.col("n").cast("long").alias("n")))

@@ -26,10 +26,20 @@ class Frame:
     mode1: int | None
     reverse: bool
 
-    def cells(self, net: Net) -> DataFrame:
+    def cells(self, net: Net, diag: bool = False) -> DataFrame:
         """(i, j, v): a network's cells among the dyads that are not 0."""
-        arcs = net.arcs(False, not net.valued).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
-        return self.keep(arcs)
+        arcs = net.arcs(diag, not net.valued).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
+        kept = self.keep(arcs)
+        return kept.unionAll(arcs.filter("i = j")) if diag and self.mode1 is None else kept
+
+    def tied(self, diag: bool = False) -> DataFrame:
+        """(i, j, v0, ...): the dyads in which any network has a value other than 0."""
+        names = [f"v{k}" for k in range(len(self.nets))]
+        parts = [self.cells(net, diag).select("i", "j", *[F.col("v").alias(c) if k == at else F.lit(0.0).alias(c) for at, c in enumerate(names)]) for k, net in enumerate(self.nets)]
+        both = parts[0]
+        for more in parts[1:]:
+            both = both.unionAll(more)
+        return both.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
 
     def keep(self, pairs: DataFrame) -> DataFrame:
         if self.mode1 is None:
@@ -52,11 +62,11 @@ class Frame:
             all_ = all_.join(arcs, ["i", "j"], "left")
         return all_.fillna(0.0, [f"v{k}" for k in range(len(self.nets))])
 
-    def size(self) -> int:
+    def size(self, diag: bool = False) -> int:
         """Number of dyads, from the vertices alone."""
         n = self.nets[0].nv()
         if self.mode1 is None:
-            return n * (n - 1) // (1 if self.directed else 2)
+            return n * (n - 1) // (1 if self.directed else 2) + (n if diag else 0)
         p = self.nets[0].vertices.filter(F.col("vid") <= self.mode1).count()
         return p * (n - p) * (2 if self.directed and self.reverse else 1)
 
@@ -89,9 +99,10 @@ def frame(nets: Sequence[Net], mode: str = "auto", missing: str = "error", conte
 
 
 def _moments(f: Frame, diag: bool) -> DataFrame:
+    """Sums over all dyads. Those in which neither network has a tie add to their number only."""
     x, y = F.col("v0"), F.col("v1")
-    return f.dyads(diag).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(y), F.lit(0.0)).alias("sy"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("sxx"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias("syy"), F.coalesce(F.sum(x * y), F.lit(0.0)).alias("sxy")
+    return f.tied(diag).agg(
+        F.lit(f.size(diag)).cast("long").alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(y), F.lit(0.0)).alias("sy"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("sxx"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias("syy"), F.coalesce(F.sum(x * y), F.lit(0.0)).alias("sxy")
     )
 
 

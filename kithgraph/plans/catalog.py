@@ -62,7 +62,7 @@ add("symmetrized_strong_trade", "trade", lambda g: g.symmetrized("strong").drop(
 add("undirected_partners", "partners", lambda g: g.as_edgelist(), " select distinct least(src, dst) src, greatest(src, dst) dst from e")
 add("induced_trade", "trade", lambda g: g.induced(g.vertices.filter("cl = 1")).as_edgelist(), " select src, dst from e where src in (select vid from v where cl = 1) and dst in (select vid from v where cl = 1)")
 add("without_vertices_trade", "trade", lambda g: g.without_vertices(g.vertices.filter("cl = 2")).as_edgelist(), " select src, dst from e where src not in (select vid from v where cl = 2) and dst not in (select vid from v where cl = 2)")
-add("without_edges_trade", "trade", lambda g: g.without_edges(g.edges.filter("weight > 30")).as_edgelist(), " select src, dst from e where weight <= 30")
+add("without_edges_trade", "trade", lambda g: g.without_edges(g.edges.join(g.edges.agg(F.avg("weight").alias("mean")), F.col("weight") > F.col("mean")).select("src", "dst")).as_edgelist(), " select src, dst from e where weight <= (select avg(weight) from e)")
 add(
     "missing_dyads_trade",
     "trade",
@@ -132,6 +132,7 @@ TWO = """, s2 as (select x.src i, y.dst k, count(*) s from a x join a y on x.dst
 WEAK = TWO + ", t as (select cast(sum(s) as double) p, cast(sum(s) filter (exists (select 1 from a where src = i and dst = k)) as double) r from s2)"
 for _g in ("trade", "handoff"):
     add(f"gtrans_weak_{_g}", _g, lambda g: census.gtrans(g), f"{WEAK} select {rnd('r / p')} transitivity from t")
+add("transitivity_global_trade", "trade", lambda g: census.transitivity(g), f"{WEAK} select {rnd('r / p')} transitivity from t")
 add("gtrans_weakcensus_trade", "trade", lambda g: census.gtrans(g, "weakcensus"), f"{WEAK} select {rnd('r')} transitivity from t")
 # strong: over all ordered triples, whether the end tie is there exactly if the two-path is
 STRONG = """, m as (select x.vid i, y.vid j, exists (select 1 from a where src = x.vid and dst = y.vid) t from v x, v y where x.vid <> y.vid),
@@ -323,10 +324,35 @@ add(
     select cast(len(m) as bigint) size, array_to_string(m, ',') members from q where len(m) >= 3
     and not exists (select 1 from v c where not list_contains(q.m, c.vid) and not exists (select 1 from (select unnest(q.m) z) w where not exists (select 1 from u t where t.x = w.z and t.y = c.vid)))""",
 )
+
+
+def cores(ends: str, rounds: int) -> str:
+    """Core numbers as what degrees come to when each vertex takes the h-index of its neighbours' values again and again."""
+    out = f", ne as ({ends}), h0 as materialized (select vid, coalesce((select count(*) from ne where x = vid), 0) c from v)"
+    for k in range(1, rounds + 1):
+        out += f""", h{k} as materialized (select v.vid, coalesce(max(least(r, c)), 0) c from v left join
+            (select ne.x, h.c, row_number() over (partition by ne.x order by h.c desc) r from ne join h{k - 1} h on h.vid = ne.y) q on q.x = v.vid group by v.vid)"""
+    return f"{out} select vid, cast(c as bigint) core from h{rounds}"
+
+
+_ends = {"freeman": "select src x, dst y from a union all select dst, src from a", "indegree": "select dst x, src y from a", "outdegree": "select src x, dst y from a"}
 for _c in ("freeman", "indegree", "outdegree"):
-    add(f"kcores_{_c}_trade", "trade", lambda g, c=_c: cohesion.kcores(g, c))
-add("kcores_freeman_handoff", "handoff", lambda g: cohesion.kcores(g))
-add("bicomponents_weak_handoff100", "handoff100", lambda g: cohesion.bicomponents(g, "weak"))
+    add(f"kcores_{_c}_trade", "trade", lambda g, c=_c: cohesion.kcores(g, c), cores(_ends[_c], 25))
+add("kcores_freeman_handoff", "handoff", lambda g: cohesion.kcores(g), cores(_ends["freeman"], 40))
+# two ties of a vertex are in one block if their other ends reach each other without it
+add(
+    "bicomponents_weak_handoff100",
+    "handoff100",
+    lambda g: cohesion.bicomponents(g, "weak"),
+    WEAKARCS + """, rem as (select x.vid cut, y.vid i, y.vid j from v x join v y on x.vid <> y.vid union select rem.cut, rem.i, t.dst from rem join ua t on rem.j = t.src where t.dst <> rem.cut),
+    ed as (select distinct least(src, dst) x, greatest(src, dst) y from a), en as (select x s, y o, x, y from ed union all select y, x, x, y from ed),
+    ln as (select p.x, p.y, q.x x2, q.y y2 from en p join en q on p.s = q.s join rem on rem.cut = p.s and rem.i = p.o and rem.j = q.o),
+    cl as (select x, y, x x2, y y2 from ed union select cl.x, cl.y, ln.x2, ln.y2 from cl join ln on ln.x = cl.x2 and ln.y = cl.y2),
+    lb as (select x, y, min({'x': x2, 'y': y2}) b from cl group by x, y),
+    vs as (select b, list_sort(list_distinct(list_concat(list(x), list(y)))) vl from lb group by b),
+    nb as (select b, dense_rank() over (order by vl) k from vs where len(vl) >= 3)
+    select cast(k as bigint) bicomponent, x src, y dst from lb join nb on nb.b = lb.b""",
+)
 
 # ---------------------------------------------------------------- centralization
 
@@ -343,16 +369,50 @@ add("centralization_out_trade", "trade", lambda g: centralization(g, mode="out")
 add("centralization_raw_trade", "trade", lambda g: centralization(g, normalized=False), f"{_D.format(e='o + i')} select {rnd('max(s) * count(*) - sum(s)')} centralization from sc")
 add("centralization_betweenness_trade", "trade", lambda g: centralization(g, "betweenness"), _central(f"{levels(12)}{BET}, sc as (select v.vid, coalesce(b, 0.0) s from v left join bt on bt.vid = v.vid)", "(n - 1) * (n - 1) * cast(n - 2 as double)"))
 add("centralization_closeness_trade", "trade", lambda g: centralization(g, "closeness", cmode="suminvdir"), _central(f"{levels(12)}{CLOSE}, sc as (select vid, inv / (n - 1) s from s)", "cast((n - 1) * (n - 1) as double)"))
-add("centralization_eigenvector_trade", "trade", lambda g: centralization(g, "eigenvector"))
+
+
+def leading(cells: str, squares: int = 10) -> str:
+    """CTEs up to ``ev`` (vid, s): row sums of a high power of the matrix plus the identity, found by squaring, as a vector of length 1."""
+    out = f", m0 as materialized (select i, j, sum(x) x from ({cells} union all select vid, vid, 1.0::double from v) group by i, j)"
+    for k in range(1, squares + 1):
+        out += f""", p{k} as materialized (select p.i, q.j, sum(p.x * q.x) x from m{k - 1} p join m{k - 1} q on p.j = q.i group by p.i, q.j),
+            m{k} as materialized (select i, j, x / (select max(x) from p{k}) x from p{k})"""
+    return out + f", rs as (select i vid, sum(x) s from m{squares} group by i), ev as (select vid, s / sqrt((select sum(s * s) from rs)) s from rs)"
+
+
+_plain = leading("select src i, dst j, 1.0::double x from a")
+add("centralization_eigenvector_trade", "trade", lambda g: centralization(g, "eigenvector"), _central(f"{_plain}, sc as (select vid, s from ev)", "n - 1.0"))
 
 # ---------------------------------------------------------------- spectral, flow, positions (held against published values and residuals in tests)
 
-add("evcent_trade", "trade", lambda g: spectral.evcent(g))
-add("evcent_valued_trade", "trade", lambda g: spectral.evcent(g, ignore_eval=False, diag=True))
+add("evcent_trade", "trade", lambda g: spectral.evcent(g), f"{_plain} select vid, {rnd('s')} score from ev")
+add("evcent_valued_trade", "trade", lambda g: spectral.evcent(g, ignore_eval=False, diag=True), leading("select src i, dst j, weight x from e") + f" select vid, {rnd('s')} score from ev")
 add("bonpow_trade", "trade", lambda g: spectral.bonpow(g, 0.02), """, b as (select vid, 0 k, cast((select count(*) from a where src = vid) as double) x from v
         union all select a.src, y.k + 1, sum(0.02 * y.x) over (partition by a.src) from b y join a on a.dst = y.vid where false),
     it as materialized (select vid, x from b)""" + "".join(f", i{k} as materialized (select v.vid, (select count(*) from a where src = v.vid) + 0.02 * coalesce((select sum(p.x) from a join {'it' if k == 1 else f'i{k - 1}'} p on p.vid = a.dst where a.src = v.vid), 0) x from v)" for k in range(1, 41)) + f" select vid, {rnd('x * sqrt((select n from n) / (select sum(x * x) from i40))')} score from i40")
-add("infocent_trade", "trade", lambda g: spectral.infocent(g))
+
+
+def inverse(n: int) -> str:
+    """CTEs from ``b`` (i, j, x), a positive definite matrix of rows and columns 1..n, to ``c`` (i, j, x), its inverse: one pivot after another."""
+    out = f", g0 as materialized (select i, j, x from b union all select i, {n} + j, (i = j)::int::double from b)"
+    for k in range(1, n + 1):
+        out += f""", g{k} as materialized (select g.i, g.j, case when g.i = {k} then g.x / p.x else g.x - f.x * r.x / p.x end x from g{k - 1} g
+            join g{k - 1} r on r.i = {k} and r.j = g.j join g{k - 1} f on f.j = {k} and f.i = g.i join g{k - 1} p on p.i = {k} and p.j = {k})"""
+    return out + f", c as (select i, j - {n} j, x from g{n} where j > {n})"
+
+
+# vertices without ties are apart in the matrix, and have no information
+add(
+    "infocent_trade",
+    "trade",
+    lambda g: spectral.infocent(g),
+    U + """, o as (select vid, row_number() over (order by vid) k, (select count(*) from u where x = vid) d from v),
+    b as (select p.k i, q.k j, case when p.k = q.k then 1.0 + p.d when p.d = 0 or q.d = 0 then 0.0 else 1.0 - exists (select 1 from u where x = p.vid and y = q.vid)::int end::double x from o p cross join o q)"""
+    + inverse(25)
+    + f""", w as (select c.* from c join o p on p.k = c.i and p.d > 0 join o q on q.k = c.j and q.d > 0), t as (select sum(x) filter (i = j) t from w),
+    r as (select i, sum(x) r, sum(x) filter (i = j) d from w group by i)
+    select vid, coalesce({rnd('1 / (r.d + (t.t - 2 * r.r) / n.n)')}, 0.0) score from o cross join t cross join n left join r on r.i = o.k""",
+)
 add("flowbet_trade", "trade", lambda g: spectral.flowbet(g))
 add("equiv_clust_trade", "trade", lambda g: equivalence.equiv_clust(g, 4))
 add("blockmodel_trade", "trade", lambda g: equivalence.blockmodel(g, 4)[1])

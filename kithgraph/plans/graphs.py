@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..net import Net
 
 TRADE = """
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _kept(net: Net) -> Net:
+    """The net with its tables written, so that operators that read them often don't make them again."""
+    return net.replace(edges=stored(net.edges, "ties"), vertices=stored(net.vertices, "vertices"))
+
+
 def _trade_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Lineitems from customers' nations to suppliers'. Lineitems are counted by key before they meet the other tables."""
     line = _table(spark, folder, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("c"))
@@ -37,7 +43,7 @@ def trade(spark: SparkSession, folder: str, factor: float = 1.0, directed: bool
     mean = cells.agg((F.avg("weight") * factor).alias("least"))
     ties = cells.join(F.broadcast(mean)).filter("weight > least").select("src", "dst", F.col("weight").cast("double").alias("weight"))
     nations = _table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("vid"), F.col("n_regionkey").cast("long").alias("cl"))
-    return Net.build(ties, nations, directed, loops)
+    return _kept(Net.build(ties, nations, directed, loops))
 
 
 def handoff(spark: SparkSession, folder: str, least: float | None = None) -> Net:
@@ -60,7 +66,7 @@ def handoff(spark: SparkSession, folder: str, least: float | None = None) -> Net
     across = ends.select(F.col("l.src").alias("src"), F.lead("f.src").over(Window.orderBy("hour")).alias("dst"))
     ties = inner.select("src", "dst").filter("dst is not null").unionAll(across.filter("dst is not null")).distinct()
     top = _table(spark, folder, "events").agg(F.max("user_id")).first()[0]
-    return Net.build(ties, spark.range(0, (top if top is not None else -1) + 1).select(F.col("id").alias("vid")), True, True)
+    return _kept(Net.build(ties, spark.range(0, (top if top is not None else -1) + 1).select(F.col("id").alias("vid")), True, True))
 
 
 def supply(spark: SparkSession, folder: str) -> Net:
@@ -69,7 +75,7 @@ def supply(spark: SparkSession, folder: str) -> Net:
     top = parts.agg(F.max("vid")).first()[0]
     suppliers = _table(spark, folder, "supplier").select((F.col("s_suppkey") + top + 1).cast("long").alias("vid"))
     ties = _table(spark, folder, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), (F.col("l_suppkey") + top + 1).cast("long").alias("dst")).distinct()
-    return Net.build(ties, parts.unionAll(suppliers), False, False, top)
+    return _kept(Net.build(ties, parts.unionAll(suppliers), False, False, top))
 
 
 def sql(name: str) -> str:

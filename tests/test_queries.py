@@ -37,6 +37,6 @@ def test_query_agrees_with_sql(spark, duck, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, data, name):
-    if name in ("netlogit_trade", "netlm_qapx_trade", "netlm_qapspp_trade"):
-        pytest.skip("needs denser tables; run at larger scale")
+    if name in ("netlogit_trade", "netlm_qapx_trade", "netlm_qapspp_trade"):  # the smallest tables leave their predictors without variance
+        data = data.replace("sf0.001", "sf0.01")
     assert QUERIES[name](spark, data).columns
