@@ -3,7 +3,7 @@
 1. Every document is tokenized in Arrow functions; it leaves one slim row per piece.
 2. The histogram of piece lengths (at most ``capacity`` rows) reaches the driver. All patterns of up to three
    lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative
-   least squares, rounded down to what the histogram holds, and the residual lengths packed best-fit.
+   least squares, rounded within what the histogram holds, and the residual lengths packed best-fit.
 3. Each pattern slot is an interval of ranks of its length. Pieces are ranked within (length, salt) groups, so a
    length that a third of all pieces have is spread over all tasks, and find their slot by their rank.
 """
@@ -122,10 +122,11 @@ def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
     return np.stack([a[used], b[used], c[used]], axis=1)
 
 
-def fit_repeats(pats: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.ndarray:
+def fit_repeats(pats: np.ndarray, counts: np.ndarray, tol: float = 1e-3, most: int = 20_000) -> np.ndarray:
     """Non-negative x that brings sum of x * pattern near ``counts``: least squares, longer lengths weighing more.
 
-    Accelerated projected gradient over the sparse pattern matrix; the step comes from its norm.
+    Accelerated projected gradient over the sparse pattern matrix; the step comes from its norm. Ends when 50 rounds take less
+    than ``tol`` off the remainder, relative to it or to the counts, and raises if ``most`` don't bring that.
     """
     size = len(counts)
     if not len(pats):
@@ -148,16 +149,21 @@ def fit_repeats(pats: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.n
         norm = float(np.linalg.norm(v))
         v /= norm
     x = y = np.zeros(len(pats))
-    t = 1.0
-    for _ in range(rounds):
+    t, before = 1.0, np.inf
+    for turn in range(1, most + 1):
         new = np.maximum(0.0, y - back(forward(y) - target) / norm)
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / s * (new - x), new, s
-    return x
+        if turn % 50 == 0:
+            left = float(np.linalg.norm(forward(x) - target))
+            if before - left < tol * max(left, 1e-3 * float(np.linalg.norm(target))):
+                return x
+            before = min(before, left)
+    raise RuntimeError("the fit of the repeats did not converge")
 
 
-#: Shares of the fitted repeats that are tried; what a share leaves over is packed best-fit.
-SHARES = (1.0, 0.97, 0.9, 0.8, 0.65, 0.5, 0.3, 0.2)
+#: Shares of the fitted repeats that are tried, each most of them; what a share leaves over is packed best-fit.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.6)
 
 
 def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -171,24 +177,29 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, .
     left[capacity] = 0
     pats = patterns(capacity, np.flatnonzero(left))
     x = fit_repeats(pats, left.astype(float))
-    plans = [rounded(pats, x * share, left, capacity) for share in SHARES]
+    plans = [held + best_fit(rest, capacity) for held, rest in (rounded(pats, x, left, share) for share in SHARES)]
     return full + min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
-def rounded(pats: np.ndarray, x: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    left, plan = counts.copy(), []
+def rounded(pats: np.ndarray, x: np.ndarray, counts: np.ndarray, share: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(pattern, times) of about ``share`` of the repeats x, and the counts that are left.
+
+    Patterns are taken in order of their repeats, each rounded but once at least, as often as lengths are left, until the sum
+    of the repeats is used up.
+    """
+    left, plan, open_ = counts.copy(), [], int(share * x.sum())
     for p in np.argsort(-x, kind="stable"):
-        n = int(x[p] + 0.5)
-        if n < 1:
+        if open_ <= 0:
             break
         lengths = [int(v) for v in pats[p] if v]
         need = {v: lengths.count(v) for v in lengths}
-        n = min([n, *(int(left[v]) // k for v, k in need.items())])
+        n = min([open_, max(1, int(x[p] + 0.5)), *(int(left[v]) // k for v, k in need.items())])
         if n > 0:
             plan.append((tuple(lengths), n))
+            open_ -= n
             for v, k in need.items():
                 left[v] -= n * k
-    return plan + best_fit(left, capacity)
+    return plan, left
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -289,6 +289,19 @@ def test_packing_plans_hold_every_length(kind):
     assert used <= plain + 2 and used >= -(-int(draws.sum()) // 1024)
 
 
+def test_fitted_patterns_hold_most_sequences():
+    draws = np.clip(np.random.default_rng(3).lognormal(5.5, 0.9, 20_000).astype(int), 1, 1023)
+    counts = np.bincount(draws, minlength=1025)
+    pats = packing.patterns(1024, np.flatnonzero(counts))
+    x = packing.fit_repeats(pats, counts.astype(float))
+    least = -(-int(draws.sum()) // 1024)
+    for share in packing.SHARES:
+        plan, left = packing.rounded(pats, x, counts, share)
+        held = sum(t for _, t in plan)
+        assert held >= 0.5 * least and (left >= 0).all() and all(sum(p) == 1024 for p, _ in plan)
+    assert sum(t for _, t in packing.plan_sequences(counts, 1024)) <= least + 2
+
+
 # ---------------------------------------------------------------- mixing
 
 
