@@ -295,9 +295,9 @@ class Net:
 
     def as_matrix(self, attr: str | None = None, diag: bool = True) -> np.ndarray:
         """The dense sociomatrix of one graph with vertices in order of their ids."""
+        if self.nv() > DENSE_VERTICES:
+            raise ValueError(f"{self.nv()} vertices are too many for a dense matrix")
         ids = [r["vid"] for r in self.vertices.select("vid").orderBy("vid").collect()]
-        if len(ids) > DENSE_VERTICES:
-            raise ValueError(f"{len(ids)} vertices are too many for a dense matrix")
         at = {v: k for k, v in enumerate(ids)}
         out = np.zeros((len(ids), len(ids)))
         for r in self.arcs(diag, attr is None, attr or "weight").collect():
@@ -355,9 +355,9 @@ def missing_policies() -> tuple[str, ...]:
 def require_observed(net: Net, policy: str, context: str) -> None:
     """Raises if ``policy`` is error and the net has unobserved dyads; under face their stored values count."""
     if policy not in POLICIES:
-        raise ValueError(f"{context}: invalid missing-dyad policy {policy!r}; expected one of {POLICIES}")
+        raise ValueError(f"{context}: missing must be one of {POLICIES}, not {policy!r}")
     if policy == "error" and net.mask is not None and not net.mask.isEmpty():
-        raise MaskedDyads(f"{context}: the network has masked dyads; missing='face' uses their stored face values")
+        raise MaskedDyads(f"{context}: some dyads of the network are unobserved; pass missing='face' to take them at their stored values")
 
 
 def supports_missing(operator) -> bool:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import net as sizes
 from ..functions.exprs import nan_div
-from ..functions.tables import components, stored
+from ..functions.tables import components, stored, unstore
 from ..net import Net, check_option, observed, per_graph_ties
-from .paths import first_rank, strong_labels
+from .paths import first_rank
+from .spectral import cyclic_arcs
 
 CONNECTED = ("strong", "weak", "recursive")
 
@@ -24,6 +25,60 @@ def tie_labels(net: Net, rule: str) -> DataFrame:
     return net.vertices.select("gid", "vid").join(got, ["gid", "vid"], "left").withColumn("label", F.coalesce("label", "vid"))
 
 
+def strong_labels(net: Net) -> DataFrame:
+    """(gid, vid, label): the smallest vertex of each vertex's strong component: one search a graph over its ties up to SMALL_TIES."""
+    arcs = net.arcs().select("gid", "src", "dst")
+    if arcs.count() <= sizes.SMALL_TIES:
+
+        def found(ids, a, b, w):
+            part = strong_parts(adjacency_lists(len(ids), a, b))
+            low = np.full(part.max(initial=-1) + 1, len(ids))
+            np.minimum.at(low, part, np.arange(len(ids)))
+            return {"vid": ids, "label": ids[low[part]]}
+
+        got = per_graph_ties(net, found, "vid long, label long", arcs)
+    else:
+        got = _strong_by_joins(arcs)
+    return net.vertices.select("gid", "vid").join(got, ["gid", "vid"], "left").withColumn("label", F.coalesce("label", "vid"))
+
+
+def _strong_by_joins(arcs: DataFrame) -> DataFrame:
+    """(gid, vid, label) of strong components of several vertices, without any pairs in reach: what lies on no cycle goes; each other
+    vertex takes the largest that reaches it as its colour; those that reach their colour's vertex within it are its component."""
+    left, parts = cyclic_arcs(arcs), []
+    while not left.isEmpty():
+        colour = stored(left.select("gid", F.col("src").alias("vid")).distinct().withColumn("colour", F.col("vid")), "colour")
+        while True:
+            came = left.join(colour, (left.gid == colour.gid) & (left.src == colour.vid)).groupBy(left.gid, left.dst.alias("vid")).agg(F.max("colour").alias("came"))
+            new = colour.join(came, ["gid", "vid"], "left").select("gid", "vid", F.greatest("colour", "came").alias("colour"), (F.col("came") > F.col("colour")).alias("changed"))
+            new = stored(new, "colour")
+            unstore(colour)
+            colour = new.select("gid", "vid", "colour")
+            colour._kg_path = new._kg_path
+            if new.filter("changed").isEmpty():
+                break
+        there = colour.select("gid", F.col("vid").alias("src"), "colour")
+        inner = left.join(there, ["gid", "src"]).join(colour.select("gid", F.col("vid").alias("dst"), F.col("colour").alias("other")), ["gid", "dst"]).filter("colour = other")
+        inner = stored(inner.select("gid", "src", "dst"), "inner")
+        level = stored(colour.filter("vid = colour"), "level")
+        found = level
+        while True:
+            back = inner.join(level, (inner.gid == level.gid) & (inner.dst == level.vid)).select(inner.gid, inner.src.alias("vid"), "colour").distinct()
+            level = stored(back.join(found, ["gid", "vid"], "left_anti"), "level")
+            if level.isEmpty():
+                break
+            found = stored(found.unionAll(level), "found")
+        low = found.groupBy("gid", "colour").agg(F.min("vid").alias("label"))
+        parts.append(stored(found.join(low, ["gid", "colour"]).select("gid", "vid", "label"), "part"))
+        gone = parts[-1].select("gid", "vid")
+        rest = left.join(gone, (left.gid == gone.gid) & (left.src == gone.vid), "left_anti")
+        left = cyclic_arcs(rest.join(gone, (rest.gid == gone.gid) & (rest.dst == gone.vid), "left_anti"))
+    out = arcs.select("gid", F.col("src").alias("vid"), F.col("src").alias("label")).limit(0)
+    for more in parts:
+        out = out.unionAll(more)
+    return out
+
+
 def labels(net: Net, connected: str) -> DataFrame:
     if connected == "unilateral":
         raise ValueError("unilateral components are not implemented")

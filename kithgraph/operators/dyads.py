@@ -79,7 +79,7 @@ def frame(nets: Sequence[Net], mode: str = "auto", missing: str = "error", conte
         net.check_values()
     parts = {net.mode1 for net in nets}
     if len(parts) > 1:
-        raise ValueError("two-mode arguments must have the same actor partition")
+        raise ValueError("all networks must split their vertices into the same two modes")
     first = nets[0].vertices.select("vid")
     for net in nets[1:]:
         other = net.vertices.select("vid")

@@ -105,7 +105,7 @@ def regular_similarity(m: np.ndarray, maxiter: int, tol: float) -> np.ndarray:
         if gap < tol:
             return sim
     if n > 1:
-        warnings.warn("regular equivalence did not converge; increase maxiter", stacklevel=1)
+        warnings.warn("regular_equivalence: similarities still change by more than tol after maxiter rounds", stacklevel=1)
     return sim
 
 
@@ -207,7 +207,7 @@ def consensus_clustering(clusterings: DataFrame | Sequence[Sequence[int]], thres
         if not clusterings:
             raise ValueError("consensus_clustering needs at least one clustering")
         if len({len(c) for c in clusterings}) > 1:
-            raise ValueError("every clustering must label the same number of vertices")
+            raise ValueError("clusterings differ in their number of vertices")
         rows = [(p, v + 1, int(x)) for p, c in enumerate(clusterings) for v, x in enumerate(c)]
         clusterings = (spark or SparkSession.getActiveSession()).createDataFrame(rows, "part long, vid long, label long")
     parts = clusterings.select("part").distinct().count()

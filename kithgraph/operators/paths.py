@@ -3,6 +3,8 @@ networks beyond SMALL_TIES ties, level by level as joins."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -96,10 +98,15 @@ def path_arcs(net: Net, cmode: str = "directed") -> DataFrame:
     return net.arcs().select("gid", "src", "dst")
 
 
+def too_large(net: Net, arcs: DataFrame) -> bool:
+    """Whether ties or vertices are too many to be sent to all executors."""
+    return arcs.count() > sizes.SMALL_TIES or net.nv() > sizes.SMALL_TIES
+
+
 def distances(net: Net, cmode: str = "directed") -> DataFrame:
     """(gid, i, j, d, paths) of all pairs in reach, each vertex to itself at 0 by 1 path."""
     arcs = path_arcs(net, cmode)
-    if arcs.count() > sizes.SMALL_TIES:
+    if too_large(net, arcs):
         return _distances_by_joins(net, arcs)
 
     def reached(a, node, lo, hi):
@@ -110,12 +117,12 @@ def distances(net: Net, cmode: str = "directed") -> DataFrame:
     return per_source(net, arcs, reached, "i long, j long, d long, paths double")
 
 
-def _distances_by_joins(net: Net, arcs: DataFrame, most: int = 10_000) -> DataFrame:
-    """The same by one join, aggregation and anti-join a level; each level is written to the shared folder."""
+def _distances_by_joins(net: Net, arcs: DataFrame) -> DataFrame:
+    """The same by one join, aggregation and anti-join a level, until one is empty; each level is written to the shared folder."""
     arcs = stored(arcs, "arcs")
     found = stored(net.vertices.select("gid", F.col("vid").alias("i"), F.col("vid").alias("j"), F.lit(0).cast("long").alias("d"), F.lit(1.0).alias("paths")), "level")
     all_, level = [found], found
-    for step in range(1, most):
+    for step in itertools.count(1):
         on = (level.gid == arcs.gid) & (level.j == arcs.src)
         new = level.join(arcs, on).groupBy(level.gid, level.i, arcs.dst.alias("j")).agg(F.sum("paths").alias("paths"))
         seen = all_[0]
@@ -201,7 +208,7 @@ def betweenness(net: Net, cmode: str = "directed", rescale: bool = False, normal
         raise ValueError("rescale and normalized exclude each other")
     arcs = path_arcs(net, cmode)
     half = not net.directed or cmode == "undirected"
-    if arcs.count() > sizes.SMALL_TIES:
+    if too_large(net, arcs):
         sums = _betweenness_by_joins(net, arcs)
     else:
 
@@ -261,13 +268,6 @@ def hierarchy(net: Net, measure: str = "reciprocity") -> DataFrame:
     return net.out(got.select("gid", nan_div(F.col("one"), F.col("all")).alias("hierarchy")))
 
 
-def strong_labels(net: Net) -> DataFrame:
-    """(gid, vid, label): the smallest vertex that reaches, and is in reach of, each vertex."""
-    d = distances(net).select("gid", "i", "j")
-    back = d.select("gid", F.col("j").alias("i"), F.col("i").alias("j"))
-    return d.join(back, ["gid", "i", "j"], "left_semi").groupBy("gid", F.col("i").alias("vid")).agg(F.min("j").alias("label"))
-
-
 def first_rank(labels: DataFrame) -> DataFrame:
     """(gid, vid, membership): groups numbered from 1 by their smallest vertex. Only the groups are ranked."""
     groups = labels.select("gid", "label").distinct()

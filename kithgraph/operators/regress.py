@@ -163,7 +163,7 @@ def _prepare(y: Net, xs, intercept: bool, nullhyp: str, n_sim: int, mode: str, m
     check_option("nullhyp", nullhyp, NULLS)
     xs = [xs] if isinstance(xs, Net) else list(xs)
     if not xs and not intercept:
-        raise ValueError(f"{context} needs at least one predictor")
+        raise ValueError(f"{context}: no term is left without predictors and intercept")
     f = frame([y, *xs], mode, missing, context)
     names = (("(intercept)",) if intercept else ()) + tuple(f"x{k + 1}" for k in range(len(xs)))
     null = {"qap": "qapspp"}.get(nullhyp, nullhyp)
@@ -189,10 +189,10 @@ def _gram(table: DataFrame, columns: list) -> np.ndarray:
 def _check_design(gram: np.ndarray, n: int) -> None:
     k = len(gram)
     if n <= k:
-        raise ValueError("more predictors than dyadic observations")
+        raise ValueError(f"{n} dyads can't tell {k} terms apart")
     scale = np.sqrt(np.diag(gram))
     if (scale == 0).any() or np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-10) < k:
-        raise ValueError("predictors are linearly dependent; remove redundant columns")
+        raise ValueError("some term is a linear combination of the others")
 
 
 def _t_values(g: np.ndarray, c: np.ndarray, yy: float, n: int) -> np.ndarray:
@@ -223,7 +223,7 @@ def _cross_sums(f: Frame, table: DataFrame, jobs: list[tuple[int, int, int]], n_
     for key, which, seed in jobs:
         cells = permuted_cells(f, f.nets[which], n_sim, seed).select(F.lit(key).alias("key"), F.lit(which).alias("which"), "rep", "i", "j", "v")
         parts = cells if parts is None else parts.unionAll(cells)
-    sums = parts.join(table, ["i", "j"]).groupBy("key", "which", "rep").agg(*[F.sum(F.col("v") * F.col(f"v{m}")).alias(f"s{m}") for m in range(k)], F.sum("v").alias("one"))
+    sums = parts.join(table, ["i", "j"], "left").groupBy("key", "which", "rep").agg(*[F.sum(F.col("v") * F.coalesce(f"v{m}", F.lit(0.0))).alias(f"s{m}") for m in range(k)], F.sum("v").alias("one"))
     out = {(key, which): np.zeros((n_sim, k + 1)) for key, which, _ in jobs}
     for r in sums.collect():
         out[r["key"], r["which"]][r["rep"]] = [r[f"s{m}"] for m in range(k)] + [r["one"]]
@@ -238,10 +238,12 @@ def netlm(y: Net, xs: Net | Sequence[Net], intercept: bool = True, nullhyp: str
     """
     f, names, null, masked = _prepare(y, xs, intercept, nullhyp, n_sim, mode, missing, "netlm")
     spark, k = y.spark, len(names)
-    table = stored(f.dyads(), "dyads")
+    table = stored(f.tied(), "dyads")
     n, predictors = f.size(), [F.col(f"v{m}") for m in range(1, len(f.nets))]
     columns = ([F.lit(1.0)] if intercept else []) + predictors
     whole = _gram(table, [*columns, F.col("v0")])
+    if intercept:  # dyads without any tie add to their number only
+        whole[0, 0] = n
     g, c, yy = whole[:k, :k], whole[:k, k], float(whole[k, k])
     _check_design(g, n)
     coef = np.linalg.solve(g, c)
@@ -417,12 +419,14 @@ def netlogit(y: Net, xs: Net | Sequence[Net], intercept: bool = True, nullhyp: s
     check_option("statistic", statistic, ("lr", "wald"))
     f, names, null, masked = _prepare(y, xs, intercept, nullhyp, n_sim, mode, missing, "netlogit")
     spark, k = y.spark, len(names)
-    table = stored(f.dyads(), "dyads")
-    if not table.filter("v0 <> 0 and v0 <> 1").isEmpty():
-        raise ValueError("netlogit requires a dichotomous (0/1) dependent network")
-    columns = [f"v{m}" for m in range(1, len(f.nets))]
-    rows = stored(table.groupBy(F.col("v0").alias("y"), *columns).agg(F.count(F.lit(1)).cast("double").alias("c")), "design")
-    n = f.size()
+    tied = stored(f.tied(), "tied")
+    if not tied.filter("v0 <> 0 and v0 <> 1").isEmpty():
+        raise ValueError("netlogit: the response's ties must all have the value 1")
+    columns, n = [f"v{m}" for m in range(1, len(f.nets))], f.size()
+    rows = tied.groupBy(F.col("v0").alias("y"), *columns).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    if (none := n - tied.count()) > 0:  # all dyads without any tie are one row
+        rows = rows.unionAll(spark.createDataFrame([(*[0.0] * (len(columns) + 1), float(none))], rows.schema))
+    rows = stored(rows, "design")
     terms = (["one"] if intercept else []) + columns
     design = rows.withColumn("one", F.lit(1.0))
     _check_design(_gram(design, [F.col(t) * F.sqrt("c") for t in terms]), n)
@@ -453,7 +457,7 @@ def netlogit(y: Net, xs: Net | Sequence[Net], intercept: bool = True, nullhyp: s
         return result(wald, _classical(spark, wald, n - k), None, "wald", converged)
     reduced = [_deviance(np.delete(x, i, axis=1), yv, w)[0] for i in range(k)]
     t = np.array([_root(reduced[i], -2 * loglik, coef[i]) for i in range(k)]) if statistic == "lr" else wald
-    dist = _logit_replicates(f, table, x, yv, w, columns, intercept, null, statistic, reduced, n_sim, seed)
+    dist = _logit_replicates(f, stored(f.dyads(), "dyads"), x, yv, w, columns, intercept, null, statistic, reduced, n_sim, seed)
     p = [np.array(v) for v in _shares(dist, t)]
     held = np.isnan(dist).any(axis=0)
     if held.any():

@@ -102,10 +102,10 @@ def test_paths_by_joins(corpus, monkeypatch):
     net, graphs, _ = corpus
     keep = sorted(graphs)[3:6]
     few = net.replace(vertices=net.vertices.filter(F.col("gid").isin(keep)), edges=net.edges.filter(F.col("gid").isin(keep)))
-    plain = [few_result(f, few) for f in (paths.geodist, paths.betweenness, cohesion.kcores)]
+    plain = [few_result(f, few) for f in (paths.geodist, paths.betweenness, cohesion.kcores, cohesion.component_dist)]
     monkeypatch.setattr("kithgraph.net.SMALL_TIES", 0)
     monkeypatch.setattr("kithgraph.net.DENSE_VERTICES", 10_000)
-    assert [few_result(f, few) for f in (paths.geodist, paths.betweenness, cohesion.kcores)] == plain
+    assert [few_result(f, few) for f in (paths.geodist, paths.betweenness, cohesion.kcores, cohesion.component_dist)] == plain
 
 
 def few_result(f, net):
