@@ -42,10 +42,15 @@ def forget_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Slim tables are written by fewer tasks, one for ``share`` shuffle partitions, as small files cost more than what is in them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kg_path = path
@@ -112,7 +117,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Up to LINKS_PER_TASK links, counted first, one task contracts all at once, with the same result.
     Nodes are of any type with an order. Null ends and self links are ignored; an empty table gives an empty result.
     """
-    cur = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
+    cur = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc", 16)
     number = cur.count()
     kind = cur.schema["a"].dataType.simpleString()
     if number <= LINKS_PER_TASK and set(re.sub(r"struct<|\w+:|>", "", kind).split(",")) <= {"int", "bigint", "string"}:
