@@ -63,7 +63,10 @@ def best_row() -> Column:
 
 def stream_best(spark: SparkSession, folder: str, files_per_trigger: int) -> DataFrame:
     """Runs the stream over what is new in the folder's feed; one row per digest ever seen: digest, group_size, best."""
-    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    rocks = "spark.sql.streaming.stateStore.rocksdb."
+    # an executor's stores share one bounded memory, whatever the number of partitions; what exceeds it is on disk
+    bounds = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "128", "writeBufferSizeMB": "4", "changelogCheckpointing.enabled": "true", "allowFAllocate": "false"}
+    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE} | {rocks + k: v for k, v in bounds.items()}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -110,7 +113,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = normalised(F.col("text"))
     texts = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("int").alias("n_points"), digest(norm).alias("digest"), norm.alias("norm"), *places())
     texts.drop("norm").withColumn("run", F.lit(run)).write.mode("append").parquet(f"{folder}/feed")
-    best = stored(stream_best(spark, folder, files_per_trigger), "best")
+    best = stored(stream_best(spark, folder, files_per_trigger), "best", 4)
     if state is None:
         forget_path(spark, f"{folder}/state")
     feed = spark.read.schema(FEED).parquet(f"{folder}/feed")
@@ -139,10 +142,10 @@ def _told(feed: DataFrame, best: DataFrame, texts: DataFrame, digest, state: str
     if state is not None:  # of earlier rows only what this call has met again
         hits = hits.join(feed.select(F.col("digest").alias("own")).distinct(), F.col("hit") == F.col("own"), "left_semi")
         texts = _content(spark, state, digest)
-    hits = stored(hits, "hits")
+    hits = stored(hits, "hits", 16)
     # bytes of the texts of held digests; min and max are pre-aggregated, so a hot group sends a row per task
     again = slim_join(texts.select("digest", "norm"), hits, F.col("digest") == F.col("hit"), "left_semi")
-    clash = stored(again.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select(F.col("digest").alias("clash")), "clash")
+    clash = stored(again.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select(F.col("digest").alias("clash")), "clash", 16)
     told = feed.join(best, "digest").select("doc_id", "group_size", "best", "digest", "file", "position")
     if not clash.isEmpty():
         some = texts.join(clash, F.col("digest") == F.col("clash"), "left_semi")
@@ -164,7 +167,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, with all their columns; see ``exact_groups``. Rows are found again by their locator."""
     rows = located(docs, None)
     gone = exact_groups(rows, id_col, text_col).filter("not kept").select(F.col("locator.file").alias("gone_file"), F.col("locator.position").alias("gone_at"))
-    gone = stored(gone, "gone")
+    gone = stored(gone, "gone", 16)
     f, p = free_name(docs, "kg_file"), free_name(docs, "kg_position")
     file, position = places()
     keyed = rows.withColumns({f: file, p: position})

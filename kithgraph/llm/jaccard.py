@@ -31,6 +31,8 @@ WORDS, PERCENT = 5, 80
 #: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, leaders of a list and span of sizes, parts
 #: that a list's rows are dealt into to meet them, histogram cells.
 BITS, SLICE, SHORT, LEADERS, SALTS, HISTOGRAM = 21, 1 << 16, 16, 4, 16, 64
+#: Shuffle partitions for each task that writes a slim table.
+SLIM = 16
 #: Ranks of the sketch grow by this with each doubling of a cell's count, so that 64 bits of count fit 16 bits of rank.
 STEPS = 1023
 #: Bytes of text handled at once.
@@ -310,11 +312,11 @@ class Links:
         left = self.nodes.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("histogram").alias("ha"))
         right = self.nodes.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("histogram").alias("hb"))
         with batches_of(self.docs.sparkSession, 4096):
-            return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db", "ha", "hb").mapInArrow(suffix, "a long, b long, da binary, db binary"), "pairs")
+            return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db", "ha", "hb").mapInArrow(suffix, "a long, b long, da binary, db binary"), "pairs", 4)
 
     def with_sets(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (.., da, db; a stored table) with both sets, sa and sb. Only sets of these pairs move."""
-        used = stored(pairs.select(F.col("da").alias("used")).unionAll(pairs.select("db")).distinct(), "used")
+        used = stored(pairs.select(F.col("da").alias("used")).unionAll(pairs.select("db")).distinct(), "used", SLIM)
         self.spent.append(used)
         sets_ = slim_join(self.sets, used, F.col("digest") == F.col("used"), "left_semi")
         left, right = sets_.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), sets_.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
@@ -338,16 +340,16 @@ class Links:
 
         def linked(part: DataFrame) -> DataFrame:
             with batches_of(part.sparkSession, 64):  # two whole sets a row
-                return stored(self.with_sets(part).select("a", "b", "sa", "sb").mapInArrow(whole, "a long, b long"), "links")
+                return stored(self.with_sets(part).select("a", "b", "sa", "sb").mapInArrow(whole, "a long, b long"), "links", 4)
 
         # first each node with one partner; then the pairs that these links leave apart
-        one = stored(told.groupBy("b").agg(F.min(F.struct("a", "da", "db")).alias("m")).select("m.a", "b", "m.da", "m.db"), "one")
+        one = stored(told.groupBy("b").agg(F.min(F.struct("a", "da", "db")).alias("m")).select("m.a", "b", "m.da", "m.db"), "one", SLIM)
         self.found.append(linked(one))
         group = self.groups()
         apart = told.join(one.select("a", "b"), ["a", "b"], "left_anti")
         for end in "ab":
             apart = apart.join(group.select(F.col("node").alias(end), F.col("group").alias(f"g{end}")), end, "left").withColumn(f"g{end}", F.coalesce(f"g{end}", end))
-        apart = stored(apart.filter("ga <> gb").select("a", "b", "da", "db"), "apart")
+        apart = stored(apart.filter("ga <> gb").select("a", "b", "da", "db"), "apart", SLIM)
         self.found.append(linked(apart))
         for gone in (one, group, apart):
             unstore(gone)
@@ -356,7 +358,7 @@ class Links:
         links = self.found[0]
         for more in self.found[1:]:
             links = links.unionAll(more)
-        return stored(components(links).select("node", F.col("component").alias("group")), "groups")
+        return stored(components(links).select("node", F.col("component").alias("group")), "groups", SLIM)
 
     def forget(self) -> None:
         for gone in (*self.found, *self.spent, self.sets):
@@ -394,7 +396,7 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     both, apart = 100 + percent, 100 - percent
     per = long.groupBy("token", "group").agg(F.count(F.lit(1)).alias("c"))
     open_ = per.groupBy(F.col("token").alias("t")).agg(F.max(F.struct("c", "group")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("t", F.col("m.group").alias("home"))
-    cells = stored(long.join(open_, F.col("token") == F.col("t")).groupBy("node", "home").agg(F.first("group").alias("group"), F.first("n").alias("n")), "cells")
+    cells = stored(long.join(open_, F.col("token") == F.col("t")).groupBy("node", "home").agg(F.first("group").alias("group"), F.first("n").alias("n")), "cells", SLIM)
     if cells.isEmpty():
         unstore(cells)
         return None
@@ -403,7 +405,7 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     digest = check.nodes.select(F.col("node").alias("v"), "digest")
     named = cells.join(often, F.col("home") == F.col("g")).drop("g")
     named = named.join(digest.withColumnRenamed("digest", "da"), F.col("node") == F.col("v")).drop("v")
-    named = stored(named.join(digest.withColumnRenamed("digest", "db"), F.col("pivot") == F.col("v")).drop("v"), "named")
+    named = stored(named.join(digest.withColumnRenamed("digest", "db"), F.col("pivot") == F.col("v")).drop("v"), "named", SLIM)
 
     def compare(batches):
         rank = ranks.value
@@ -426,8 +428,8 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     with batches_of(long.sparkSession, 64):
         compared = check.with_sets(named).select("node", "home", "group", "pivot", "n", "sa", "sb").mapInArrow(compare, "node long, home long, group long, pivot long, n int, linked boolean, u long, differences array<long>")
         # a set that came from several tasks repeats its rows
-        compared = stored(compared.dropDuplicates(["node", "pivot"]), "compared")
-    check.found.append(stored(compared.filter("linked and node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "links"))
+        compared = stored(compared.dropDuplicates(["node", "pivot"]), "compared", 4)
+    check.found.append(stored(compared.filter("linked and node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "links", SLIM))
 
     # the pivot itself differs in nothing; it has been compared with all
     inside = F.col("linked") | (F.col("group") == F.col("home"))
@@ -439,9 +441,9 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     least_left = F.greatest(F.lit(1), F.ceil((partner + F.col("u")) / (2.0 * both))).cast("int")
     some = some.withColumn("size", size).withColumn("kept", F.slice("differences", F.lit(1), F.greatest(F.lit(0), size - least_left + 1)))
     some = some.select("pivot", "node", "group", "n", "u", "size", F.posexplode("kept").alias("pos", "token")).withColumn("cap", 2 * both * (F.col("size") - F.col("pos")).cast("long") - F.col("u")).drop("size", "pos")
-    some = stored(some, "differences")
+    some = stored(some, "differences", SLIM)
     keys = some.groupBy(F.col("pivot").alias("p"), F.col("token").alias("t")).agg(F.min("u").alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").drop("g0", "g1")
-    kept = stored(some.join(keys, (F.col("pivot") == F.col("p")) & (F.col("token") == F.col("t")) & (F.col("cap") >= F.col("low"))).drop("p", "t", "low"), "kept")
+    kept = stored(some.join(keys, (F.col("pivot") == F.col("p")) & (F.col("token") == F.col("t")) & (F.col("cap") >= F.col("low"))).drop("p", "t", "low"), "kept", SLIM)
     x, y = (kept.select("pivot", "token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("group").alias(f"g{e}"), F.col("u").alias(f"u{e}"), F.col("cap").alias(f"cap{e}")) for e in "ab")
     found = x.join(y, ["pivot", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.col("ua") <= F.col("capb")) & (F.col("ub") <= F.col("capa")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     out = check.screen(found.select("a", "b", "na", "nb"))
@@ -456,9 +458,9 @@ def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     used: list[DataFrame] = []
 
-    def keep(df: DataFrame, tag: str, rows: int = 256) -> DataFrame:
+    def keep(df: DataFrame, tag: str, rows: int = 256, share: int = 1) -> DataFrame:
         with batches_of(spark, rows):
-            used.append(stored(df, tag))
+            used.append(stored(df, tag, share))
         return used[-1]
 
     with batches_of(spark, 256):
@@ -467,8 +469,8 @@ def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # equal sets are one node, named by its smallest row
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("best")
-    classes = keep(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), best), "classes")
-    copies = keep(rows.filter("n > 0").select("row", "digest").join(classes.select(F.col("digest").alias("d"), "node"), F.col("digest") == F.col("d")).filter("row <> node").select(F.col("row").alias("copy")), "copies")
+    classes = keep(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), best), "classes", share=4)
+    copies = keep(rows.filter("n > 0").select("row", "digest").join(classes.select(F.col("digest").alias("d"), "node"), F.col("digest") == F.col("d")).filter("row <> node").select(F.col("row").alias("copy")), "copies", share=SLIM)
     single = slim_join(rows.filter("n > 0"), copies, F.col("row") == F.col("copy"), "left_anti").withColumnRenamed("row", "node")
     check = Links(keep(single.select("node", "doc_id", "n", "digest", "histogram"), "nodes"), docs.select("doc_id", "text"), k, percent)
 
@@ -483,7 +485,7 @@ def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     unstore(told)
     group = check.groups()
     grouped = long.join(group.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node")).select("token", "node", "n", "group")
-    grouped = keep(grouped, "grouped")
+    grouped = keep(grouped, "grouped", share=4)
     unstore(group)
     told = differing(grouped, check, ranks, percent)
     if told is not None:
@@ -493,7 +495,7 @@ def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     group = check.groups()
     named = classes.join(group.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node"))
     least = named.groupBy(F.col("group").alias("g")).agg(F.min("best").alias("first"))
-    named = stored(named.join(least, F.col("group") == F.col("g")).select(F.col("digest").alias("d"), "node", "first"), "told")
+    named = stored(named.join(least, F.col("group") == F.col("g")).select(F.col("digest").alias("d"), "node", "first"), "told", 4)
     check.forget()
     for gone in (group, *used):
         if gone is not stored_rows:
@@ -526,14 +528,14 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     i, m = free_name(docs, "kg_id"), free_name(docs, "kg_mark")
     keyed = docs.withColumns({i: F.col(id_col).cast("long"), m: F.xxhash64(F.col(text_col).cast("string"))})
-    rows = stored(row_groups(keyed.select(F.col(i).alias("doc_id"), F.col(m).alias("mark"), F.col(text_col).cast("string").alias("text")), k, percent).filter("n > 0").select("doc_id", "mark", "first"), "rows")
+    rows = stored(row_groups(keyed.select(F.col(i).alias("doc_id"), F.col(m).alias("mark"), F.col(text_col).cast("string").alias("text")), k, percent).filter("n > 0").select("doc_id", "mark", "first"), "rows", 4)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
     gone = rows.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
-    gone = stored(gone, "gone")
+    gone = stored(gone, "gone", SLIM)
     same = lambda df, a, b: keyed_on(df, i, m, a, b)
     kept = keyed.join(gone, same(keyed, gone.gone_id, gone.gone_mark), "left_anti")
     again = rows.groupBy("doc_id", "mark").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark"))
-    again = stored(again, "again")
+    again = stored(again, "again", SLIM)
     if not again.isEmpty():
         on = same(kept, again.again_id, again.again_mark)
         kept = kept.join(again, on, "left_anti").unionAll(kept.join(again, on, "left_semi").dropDuplicates([i, m]))
