@@ -24,6 +24,7 @@ _nets = {
     "partners": lambda s, d: graphs.trade(s, d, directed=False),
     "handoff": graphs.handoff,
     "handoff100": lambda s, d: graphs.handoff(s, d, 100.0),
+    "handoff150": lambda s, d: graphs.handoff(s, d, 150.0),
     "supply": graphs.supply,
 }
 
@@ -196,6 +197,15 @@ ROLES = """, o as (select p.src i, p.dst j, q.dst k from a p join a q on p.dst =
     raw as (select vid, v.cl, x.role, (select count(*) from r where r.j = vid and (x.role = 't' or r.role = x.role)) raw from v, (select unnest(['w_I', 'w_O', 'b_IO', 'b_OI', 'b_O', 't']) role) x)"""
 add("brokerage_raw_trade", "trade", lambda g: br.brokerage(g, "cl").select("vid", "cl", "role", "raw"), f"{ROLES} select vid, cl, role, raw from raw")
 add("brokerage_global_raw_trade", "trade", lambda g: br.brokerage_global(g, "cl").select("role", "raw"), f"{ROLES} select role, cast(sum(raw) as bigint) raw from raw group by role")
+ALL_ROLES = """, s as (select cl, cast(count(*) as double) c from v group by cl), tot as (select cast(n as double) t, (select count(*) from a) / cast(n * (n - 1) as double) d from n),
+    w as (select t, d * d * (1 - d) q, pow(d * (1 - d), 3) k, pow(d, 4) * pow(1 - d, 2) e, pow(d, 5) * (1 - d) f from tot),
+    g as (select 'w_I' role, sum(c * (c - 1) * (c - 2)) m, sum(c * (c - 1) * (c - 2) * ((4 * c - 10) * k + (c - 3) * (f - 4 * e))) z from s, w
+        union all select 'w_O', sum(c * (c - 1) * (t - c)), (select sum(x.c * (x.c - 1) * y.c * (2 * (x.c + y.c - 3) * k + (t - x.c - 1) * f)) from s x, s y, w) - sum(c * c * (c - 1) * ((4 * c - 6) * k + (t - c - 1) * f)) from s, w
+        union all select r.r, sum(c * (c - 1) * (t - c)), sum(c * (c - 1) * (t - c) * ((t - 3) * k + (c - 2) * f)) from s, w, (select unnest(['b_IO', 'b_OI']) r) r group by r.r
+        union all select 'b_O', (select sum(x.c * y.c * (t - x.c - y.c)) from s x, s y, w) - sum(c * c * (t - 2 * c)),
+            (select sum(x.c * y.c * z.c * ((4 * (t - y.c) - 2 * (x.c + z.c + 1)) * k - (4 * (t - z.c) - 2 * (x.c + y.c + 1)) * e + (t - (x.c + z.c + 1)) * f)) from s x, s y, s z, w where x.cl <> y.cl and y.cl <> z.cl and x.cl <> z.cl) from s, w
+        union all select 't', t * (t - 1) * (t - 2), t * (t - 1) * (t - 2) * ((4 * t - 10) * k + (t - 3) * (f - 4 * e)) from w)"""
+add("brokerage_global_moments_trade", "trade", lambda g: br.brokerage_global(g, "cl").select("role", "exp", "sd"), f"{ALL_ROLES} select role, {rnd('m * q')} as exp, {rnd('sqrt(m * q * (1 - q) + z)')} sd from g, w")
 CLASSES = """, s as (select cl, cast(count(*) as double) c from v group by cl), tot as (select cast(n as double) t, (select count(*) from a) / cast(n * (n - 1) as double) d from n),
     q as (select d * d * (1 - d) q, pow(d * (1 - d), 3) k, t from tot),
     b as (select cl, c, q, k, t, coalesce((select sum(o.c * (o.c - 1)) from s o where o.cl <> s.cl), 0) o2, coalesce((select sum(o.c * (o.c - 1) * (o.c - 2)) from s o where o.cl <> s.cl), 0) o3,
@@ -312,10 +322,9 @@ CUT = """, base as (select count(distinct c) k from lab), rem as (select x.vid c
         union select rem.cut, rem.i, t.dst from rem join {t} t on rem.j = t.src where t.dst <> rem.cut),
     parts as (select cut, count(distinct c) k from (select cut, i, min(j) c from {m} group by cut, i) group by cut)
     select cut vid from parts, base where parts.k > base.k"""
-add("cutpoints_weak_trade", "trade", lambda g: cohesion.cutpoints(g, "weak"), _ties["weak"] + CUT.format(t="ua", m="rem"))
+add("cutpoints_weak_handoff150", "handoff150", lambda g: cohesion.cutpoints(g, "weak"), _ties["weak"] + CUT.format(t="ua", m="rem"))
 add("cutpoints_recursive_trade", "trade", lambda g: cohesion.cutpoints(g, "recursive"), _ties["recursive"] + CUT.format(t="ma", m="rem"))
-add("cutpoints_strong_trade", "trade", lambda g: cohesion.cutpoints(g), _ties["strong"] + CUT.format(t="a", m="(select x.cut, x.i, x.j from rem x join rem y on x.cut = y.cut and x.i = y.j and x.j = y.i)"))
-add("cutpoints_weak_handoff100", "handoff100", lambda g: cohesion.cutpoints(g, "weak"), _ties["weak"] + CUT.format(t="ua", m="rem"))
+add("cutpoints_strong_handoff150", "handoff150", lambda g: cohesion.cutpoints(g), _ties["strong"] + CUT.format(t="a", m="(select x.cut, x.i, x.j from rem x join rem y on x.cut = y.cut and x.i = y.j and x.j = y.i)"))
 add(
     "cliques_trade",
     "trade",
@@ -457,6 +466,12 @@ def add_pair(name: str, function, text: str | None = None) -> None:
 
 add_pair("gcor_trade", lambda g, h: dyads.gcor(g, h), f"{DY} select {rnd('corr(y, x)')} gcor from dd")
 add_pair("gcov_trade", lambda g, h: dyads.gcov(g, h), f"{DY} select {rnd('covar_samp(y, x)')} gcov from dd")
+QUERIES["gcor_two_mode_supply"] = lambda s, d: tidy(dyads.gcor(graphs.supply(s, d), graphs.supply(s, d, 25.0)))
+SQL["gcor_two_mode_supply"] = f"""
+    with x as (select distinct l_partkey p, l_suppkey s from lineitem), y as (select distinct l_partkey p, l_suppkey s from lineitem where l_quantity >= 25),
+    t as (select cast((select count(*) from part) * (select count(*) from supplier) as double) n, cast((select count(*) from x) as double) sx, cast((select count(*) from y) as double) sy)
+    select {rnd('(n * sy - sx * sy) / sqrt((n * sx - sx * sx) * (n * sy - sy * sy))')} gcor from t
+"""
 N_SIM = 50
 _sums = "(select count(*) n, sum(x) sx, sum(y) sy, sum(x * x) sxx, sum(y * y) syy, sum(x * y) sxy from dd)"
 MOVED = PERM.format(seed=13, n=N_SIM) + ", mv as (select p.rep, p.nw i, q.nw j from a join pm p on p.vid = src join pm q on q.vid = dst and q.rep = p.rep), mx as (select reps.rep, coalesce(c, 0) c from (select unnest(range(0, {n})) rep) reps left join (select rep, count(*) c from mv join a2 on a2.src = i and a2.dst = j group by rep) k on k.rep = reps.rep)".format(n=N_SIM)

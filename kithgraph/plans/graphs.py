@@ -69,12 +69,12 @@ def handoff(spark: SparkSession, folder: str, least: float | None = None) -> Net
     return _kept(Net.build(ties, spark.range(0, (top if top is not None else -1) + 1).select(F.col("id").alias("vid")), True, True))
 
 
-def supply(spark: SparkSession, folder: str) -> Net:
-    """Parts (mode 1) and suppliers, tied by a lineitem. A supplier's vertex is its key after the last part's."""
+def supply(spark: SparkSession, folder: str, least: float = 0.0) -> Net:
+    """Parts (mode 1) and suppliers, tied by a lineitem of a quantity of at least ``least``. A supplier's vertex is its key after the last part's."""
     parts = _table(spark, folder, "part").select(F.col("p_partkey").cast("long").alias("vid"))
     top = parts.agg(F.max("vid")).first()[0]
     suppliers = _table(spark, folder, "supplier").select((F.col("s_suppkey") + top + 1).cast("long").alias("vid"))
-    ties = _table(spark, folder, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), (F.col("l_suppkey") + top + 1).cast("long").alias("dst")).distinct()
+    ties = _table(spark, folder, "lineitem").filter(F.col("l_quantity") >= least).select(F.col("l_partkey").cast("long").alias("src"), (F.col("l_suppkey") + top + 1).cast("long").alias("dst")).distinct()
     return _kept(Net.build(ties, parts.unionAll(suppliers), False, False, top))
 
 
@@ -85,7 +85,7 @@ def sql(name: str) -> str:
         ties = f"w0 as ({TRADE}), e as (select src, dst, cast(weight as double) weight from w0 where weight > (select avg(weight) * {factor} from w0))"
         vertices = "v as (select cast(n_nationkey as bigint) vid, cast(n_regionkey as bigint) cl from nation)"
     else:
-        more = {"handoff": "", "handoff100": " and value > 100"}[name]
+        more = {"handoff": "", "handoff100": " and value > 100", "handoff150": " and value > 150"}[name]
         ties = f"q0 as ({HANDOFF.format(more=more)}), e as (select distinct cast(src as bigint) src, cast(dst as bigint) dst, 1.0::double weight from q0 where dst is not null)"
         vertices = "v as (select unnest(range(0, (select max(user_id) + 1 from events))) vid, 0::bigint cl)"
     return f"{ties}, {vertices}, n as (select count(*) n from v), a as (select src, dst, weight w from e where src <> dst)"
