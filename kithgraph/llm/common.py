@@ -22,7 +22,8 @@ BROADCAST_ROWS = 200_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small in a worker."""
+    """Arrow batches of at most ``rows`` rows from now on, for results that run when their caller asks for them: a batch of long texts
+    then stays small in a worker. Steps that run at once take ``batches_of`` instead, which sets back what was set."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

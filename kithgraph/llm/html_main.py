@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import batches_of, small_batches, stored
 
 #: A subtree is a template's if it stands on so many pages of a host that differ in content, and on this share of them.
 MANY_PAGES, SHARE = 5, 0.1
@@ -319,7 +319,6 @@ def row_hash(url: str | None, html: str | None) -> int:
 def subtrees(pages: DataFrame) -> DataFrame:
     """Pass 1 over (page_id, url, html): a row a page with its host, the hashes of the subtrees that a template could consist
     of and the hash of its content. Pages without a host have no site, and so no row."""
-    small_batches(pages.sparkSession, 256)
 
     def run(batches):
         for batch in batches:
@@ -365,7 +364,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     is one space, a line break element too; blocks are joined by one line feed in page order.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = stored(subtrees(rows), "subtrees")
+    with batches_of(pages.sparkSession, 256):
+        found = stored(subtrees(rows), "subtrees")
+    small_batches(pages.sparkSession, 256)
     seen = found.select("page_id", "row", "host", F.explode("trees").alias("tree"))
     held = seen.join(site_templates(found, many, share), ["host", "tree"]).groupBy("page_id", "row").agg(F.collect_set("tree").alias("trees"))
     held = held.select(F.col("page_id").alias("p"), F.col("row").alias("r"), "trees")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, tasks
+from .common import batches_of, stored, tasks
 from .token_counts import tokenizer
 
 CAPACITY, END_ID = 1024, 2
@@ -81,7 +81,6 @@ def _tiktoken(path: str):
 
 def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
-    small_batches(docs.sparkSession, 256)
 
     def run(batches):
         encode = Encoder(path)
@@ -253,7 +252,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     pieces lie gapless from offset 0. The slots' table is bounded by ``capacity``, not by the input.
     """
     spark = docs.sparkSession
-    found = stored(token_pieces(docs, path, id_col, text_col, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    with batches_of(spark, 256):
+        found = stored(token_pieces(docs, path, id_col, text_col, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     salts = tasks(spark)
     salted = found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))

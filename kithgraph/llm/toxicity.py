@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, large, mix64, small_batches, stored, tasks, unstore
+from .common import batches_of, codepoints, large, mix64, small_batches, stored, tasks, unstore
 
 #: Lengths of n-grams, features kept, labelled texts of a class that are fitted on (at most), least texts with a feature.
 ORDERS, FEATURES, FIT_TEXTS, LEAST = (3, 4, 5, 6), 4096, 4000, 4
@@ -160,8 +160,12 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most
     copies. The bias is an operating point; see
     ``boundary``. Without texts of both classes the model scores the share of toxic ones.
     """
+    with batches_of(train.sparkSession, 1024):
+        return _fitted(train, text_col, label_col, most_texts, features)
+
+
+def _fitted(train: DataFrame, text_col: str, label_col: str, most_texts: int, features: int) -> Model:
     spark = train.sparkSession
-    small_batches(spark)
     rows = train.filter(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):

@@ -24,7 +24,7 @@ def duck(data, text):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     return con.sql(text).df()
 
@@ -569,3 +569,17 @@ def test_one_long_conversation_is_spread(spark):
     got = chat.rotate(rows)
     part = got.filter("perspective = 'a'").orderBy("position").collect()
     assert [r["position"] for r in part] == list(range(3000)) and all(x["end"] == y["start"] for x, y in zip(part, part[1:], strict=False))
+
+
+def test_long_texts_are_cut_where_no_token_spans(monkeypatch):
+    import pyarrow as pa
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    assert token_counts.cuts_at_spaces(path) and not token_counts.cuts_at_spaces(queries.vocabulary("word_bpe_49k.json"))
+    rng = np.random.default_rng(6)
+    bits = ["word", "it's", " two  spaces", "x\ty", "12 34", "a. b", "Öl", "e\u0301", "日本", "\n\n", "don't we", "<|endoftext|>", "q<|endoftext|> r"]
+    texts = [" ".join(bits[k] for k in rng.integers(0, len(bits), 400)) for _ in range(6)] + ["", "x" * 900]
+    whole = [len(x) for x in token_counts.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_counts, "PART", 50)
+    assert len(token_counts.in_parts(texts[0])) > 5 and "".join(token_counts.in_parts(texts[0])) == texts[0]
+    assert token_counts.Counter(path)(pa.array(texts, pa.large_string())).tolist() == whole
