@@ -82,7 +82,7 @@ def test_stages_on_edges(spark, data, edge_docs, no_docs, tmp_path):
             assert out.columns == edge_docs.columns
         ids = Counter(r["doc_id"] for r in out.collect())
         if name == "exact dedup":
-            assert ids == Counter({1: 1, 3: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1, None: 1, 11: 1}) or sum(ids.values()) == 9
+            assert ids == Counter([2, 5, 6, 8, 9, 10, None, 11])  # the longest of equal texts
         if name == "near dedup":
             assert ids == Counter([1, 3, 4, 5, 6, 8, 9, 10, None, 11])
     language = corpus_pipeline.known_language
