@@ -425,7 +425,24 @@ add(
 add("flowbet_trade", "trade", lambda g: spectral.flowbet(g))
 add("equiv_clust_trade", "trade", lambda g: equivalence.equiv_clust(g, 4))
 add("blockmodel_trade", "trade", lambda g: equivalence.blockmodel(g, 4)[1])
-add("regular_equivalence_trade", "trade", lambda g: equivalence.regular_equivalence(g))
+
+
+def regular(rounds: int) -> str:
+    """Regular equivalence, one materialized round after another; once a round changes less than 1e-6, later ones keep its values."""
+    out = """, nb as materialized (select src i, dst k, 0 s from a union all select dst, src, 1 from a), sd as (select unnest([0, 1]) s),
+        dg as materialized (select vid i, sd.s, count(k) d from v cross join sd left join nb on nb.i = vid and nb.s = sd.s group by vid, sd.s),
+        s0 as materialized (select x.vid i, y.vid j, 1.0::double x, false done from v x cross join v y)"""
+    for k in range(1, rounds + 1):
+        out += f""", b{k} as materialized (select nb.i, nb.s, t.j l, max(t.x) x from nb join s{k - 1} t on t.i = nb.k group by nb.i, nb.s, t.j),
+        m{k} as materialized (select b.i, nb.i j, b.s, avg(b.x) x from b{k} b join nb on nb.k = b.l and nb.s = b.s group by b.i, nb.i, b.s),
+        n{k} as materialized (select di.i, dj.i j, case when di.i = dj.i then 1.0 else sum(0.5 * case when di.d = 0 and dj.d = 0 then 1.0 when di.d = 0 or dj.d = 0 then 0.0 else (p.x + q.x) / 2 end) end x
+            from dg di join dg dj on dj.s = di.s left join m{k} p on p.i = di.i and p.j = dj.i and p.s = di.s left join m{k} q on q.i = dj.i and q.j = di.i and q.s = di.s group by di.i, dj.i),
+        s{k} as materialized (select n.i, n.j, case when o.done then o.x else n.x end x, o.done or (select max(abs(z.x - y.x)) from n{k} z join s{k - 1} y on y.i = z.i and y.j = z.j) < 1e-6 done
+            from n{k} n join s{k - 1} o on o.i = n.i and o.j = n.j)"""
+    return f"{out} select i, j, {rnd('x')} as value from s{rounds}"
+
+
+add("regular_equivalence_trade", "trade", lambda g: equivalence.regular_equivalence(g), regular(60))
 
 # ---------------------------------------------------------------- random graphs and layouts
 
