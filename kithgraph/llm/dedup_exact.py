@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +35,18 @@ def sha256(text: Column) -> Column:
 
 
 def plain_scan(df: DataFrame) -> bool:
-    """Whether ``df`` reads files and only selects and filters, so that each row has a file and position of its own."""
+    """Whether ``df`` reads files and only selects and filters, so that each row has a file and position of its own (which only some
+    formats tell)."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
-    return node.nodeName() == "LogicalRelation" and "_metadata" not in (c.lower() for c in df.columns)
+    if node.nodeName() != "LogicalRelation" or "_metadata" in (c.lower() for c in df.columns):
+        return False
+    try:
+        df.select(*places())
+    except AnalysisException:
+        return False
+    return True
 
 
 def located(docs: DataFrame, folder: str | None) -> DataFrame:

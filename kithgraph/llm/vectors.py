@@ -96,42 +96,37 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = rows.filter("usable").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = stored(classes.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    meetings = []
-    for dim, number in sorted((r["dim"], r["count"]) for r in classes.groupBy("dim").count().collect()):
+    # centres only where vectors of one length are many enough for several cells; all others of a length are one cell
+    centres = {}
+    for dim, number in sorted((r["dim"], r["count"]) for r in classes.groupBy("dim").count().filter(F.col("count") >= 2 * per_cell).collect()):
         own = classes.filter(F.col("dim") == dim)
-        cells = int(min(MOST_CELLS, max(1, number // per_cell)))
         pick = own if number <= fit else own.filter(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < 1_000_000 * fit // number)
         sample = np.array([r["v"] for r in pick.orderBy("class").select("v").collect()], dtype=np.float64).reshape(-1, dim)
-        sample = unit(sample / np.abs(sample).max(axis=1, keepdims=True)) if len(sample) else np.eye(1, dim)
-        centres = spark.sparkContext.broadcast(spherical_kmeans(sample, min(cells, len(sample))))
-
-        def to_cells(batches, centres=centres, dim=dim):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
+        if len(sample):
+            sample = unit(sample / np.abs(sample).max(axis=1, keepdims=True))
+            centres[dim] = spherical_kmeans(sample, min(MOST_CELLS, number // per_cell, len(sample)))
+    sent = spark.sparkContext.broadcast(centres)
+    names = ["node", "label", "n", "dim", "cell", "home", "cells", "x"]
+
+    def to_cells(batches):
+        for batch in batches:
+            dims = np.asarray(batch.column(4))
+            for dim in np.unique(dims):
+                some = pa.Table.from_batches([batch]).filter(pa.array(dims == dim)).combine_chunks().to_batches()
+                for part in (x.slice(lo, 2048) for x in some for lo in range(0, x.num_rows, 2048)):
                     x = batch_matrix(part.column(2))
                     x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-                    found = assign(x, centres.value, margin)
+                    found = assign(x, sent.value[dim], margin) if dim in sent.value else [np.zeros(1, np.int64)] * len(x)
                     at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                     cell = np.concatenate(found).astype(np.int32)
                     homes = np.array([f[0] for f in found], dtype=np.int32)[at]
                     blob, lists = [row.tobytes() for row in x], [f.astype(np.int32).tobytes() for f in found]
                     take = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), part.column(3).take(take), pa.array(cell), pa.array(homes), pa.array(lists, pa.binary()).take(take), pa.array(blob, pa.binary()).take(take)],
-                        ["node", "label", "n", "cell", "home", "cells", "x"],
-                    )
-
-        placed = own.select("node", "label", "v", "n").mapInArrow(to_cells, "node long, label string, n long, cell int, home int, cells binary, x binary")
-        meetings.append(placed.withColumn("dim", F.lit(dim)))
-    if meetings:
-        placed = meetings[0]
-        for more in meetings[1:]:
-            placed = placed.unionByName(more)
-        edges, links = block_links(stored(placed, "cells"), least)
-    else:
-        edges = spark.createDataFrame([], "a long, b long")
-        links = spark.createDataFrame([], "node long, links long")
+                    own = [part.column(k).take(take) for k in (0, 1, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(cell), pa.array(homes), pa.array(lists, pa.binary()).take(take), pa.array(blob, pa.binary()).take(take)], names)
+
+    placed = classes.select("node", "label", "v", "n", "dim").mapInArrow(to_cells, "node long, label string, n long, dim int, cell int, home int, cells binary, x binary")
+    edges, links = block_links(stored(placed, "cells"), least)
 
     groups = components(edges)
     told = classes.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").withColumn("component", F.coalesce("component", "node"))

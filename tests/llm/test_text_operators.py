@@ -103,6 +103,14 @@ def test_locators_find_rows_and_stay(docs):
     assert all(there[v["file"], v["position"]] == i for i, v in got.items())
 
 
+def test_rows_without_a_place_get_one(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.json(f"{tmp_path}/json")
+    text = spark.read.schema("doc_id long, text string").json(f"{tmp_path}/json")
+    assert dedup_exact.plain_scan(docs.filter("doc_id > 3")) and not dedup_exact.plain_scan(text) and not dedup_exact.plain_scan(docs.union(docs))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(map(str, dedup_exact.exact_groups(text).select(columns).collect())) == sorted(map(str, dedup_exact.exact_groups(docs).select(columns).collect()))
+
+
 # ---------------------------------------------------------------- Jaccard
 
 
