@@ -67,6 +67,14 @@ def test_recurrence_decides_on_large_hosts(spark):
     assert all(got[20 + i] == f"T{i}\nBody {i}" for i in range(4))
 
 
+def test_very_long_pages(spark):
+    story = "".join(f"<p>line {i} &amp; <i>more</i></p>" for i in range(60_000))
+    rows = [(i, f"http://a.example/{i}", f"<div>Menu of all pages</div><section><h2>Page {i}</h2>{story if i == 2 else '<p>short'}</section>") for i in range(6)]
+    rows.append((9, "http://b.example/", "<b>" * 5_000 + "deep" + "</i>" * 5_000))
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Page 2\n" + "\n".join(f"line {i} & more" for i in range(60_000)) and got[4].startswith("Page 4") and got[9] == "deep"
+
+
 def plain_subtrees(html):
     """Every element's subtree as text, found by the standard library's parser, for pages whose elements are all closed."""
     from html.parser import HTMLParser

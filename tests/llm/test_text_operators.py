@@ -572,6 +572,15 @@ def test_perspectives_make_whole_dialogues(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_perspectives_of_very_long_turns(spark):
+    long = "Öl " * 500_000
+    got = {(r["perspective"], r["position"]): r for r in chat.rotate(spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "x")], "conv_id long, turn long, role string, text string")).collect()}
+    for who in "ab":
+        first, last = got[who, 0], got[who, 1]
+        assert first["end"] == last["start"] == len(first["rendered"]) and long in first["rendered"]
+    assert got["a", 0]["mask_end"] - got["a", 0]["mask_start"] == len(long) + 8
+
+
 def test_one_long_conversation_is_spread(spark):
     rows = spark.range(3000).select(F.lit(1).alias("conv_id"), (F.col("id") % 700).alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.lit("text").alias("text"))
     got = chat.rotate(rows)
