@@ -52,11 +52,13 @@ def fold(modulus: int):
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    from .toxicity import fit, score
+    from .common import slim_join
+    from .toxicity import fit, score, text_key
 
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    train = docs.select("doc_id", "text").filter(fold(3) != 1).join(labels.select("doc_id", "toxic").filter("toxic is not null"), "doc_id")
-    out = score(docs, fit(train))
+    texts = docs.filter(fold(3) != 1).select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    train = slim_join(texts, labels.select("doc_id", "toxic").filter("toxic is not null"), "doc_id", "inner")
+    out = score(docs, fit(train, key_col="text_key"))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 

@@ -153,25 +153,31 @@ def regression(text: np.ndarray, feature: np.ndarray, scale: np.ndarray, label:
     return w[:size] * scale, float(w[size])
 
 
-def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most_texts: int = FIT_TEXTS, features: int = FEATURES) -> Model:
+def text_key(text):
+    """A hash of a text, null as empty: what ``fit`` tells texts apart by."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.lit(2))
+
+
+def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", most_texts: int = FIT_TEXTS, features: int = FEATURES, key_col: str | None = None) -> Model:
     """The model of rows whose label is 0 or 1, from at most ``most_texts`` different texts of each class.
 
     The sample holds the texts of the smallest hashes, each once however many rows repeat it, so it depends on neither partitions nor
     copies. The bias is an operating point; see
-    ``boundary``. Without texts of both classes the model scores the share of toxic ones.
+    ``boundary``. Without texts of both classes the model scores the share of toxic ones. ``key_col`` names a column of
+    ``text_key``, if the rows have one: made before a join, it moves in place of the text until the sample is known.
     """
     with batches_of(train.sparkSession, 1024):
-        return _fitted(train, text_col, label_col, most_texts, features)
+        return _fitted(train, text_col, label_col, most_texts, features, key_col)
 
 
-def _fitted(train: DataFrame, text_col: str, label_col: str, most_texts: int, features: int) -> Model:
+def _fitted(train: DataFrame, text_col: str, label_col: str, most_texts: int, features: int, key_col: str | None) -> Model:
     spark = train.sparkSession
-    rows = train.filter(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
+    key = F.col(key_col) if key_col else text_key(F.col(text_col))
+    rows = train.filter(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), key.alias("h"))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         share = np.clip(n.get(1, 0) / max(1, sum(n.values())), 1e-6, 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit(2)))
     keys = stored(rows.groupBy("label", "h").count(), "keys")
     upto = {c: keys.filter(F.col("label") == c).select("h").orderBy("h").limit(most_texts).agg(F.max("h").alias("m")).first()["m"] for c in (0, 1)}
     unstore(keys)
