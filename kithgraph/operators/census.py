@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import INF, NAN, nan_div
+from ..functions.tables import stored
 from ..net import Net, check_option, observed
 
 
@@ -243,6 +244,7 @@ def triad_census(net: Net) -> DataFrame:
     spark, directed = net.spark, net.directed
     # each dyad's two arcs as one number, seen from its smaller vertex; an undirected tie is both
     dyad = net.arcs().groupBy("gid", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum(F.when(F.col("src") < F.col("dst"), 1).otherwise(2)).cast("int").alias("d"))
+    dyad = stored(dyad, "dyads")
     flipped = F.when(F.col("d") == 3, 3).otherwise(3 - F.col("d")).cast("int")
     seen = dyad.unionAll(dyad.select("gid", F.col("v").alias("u"), F.col("u").alias("v"), flipped.alias("d")))
     kinds = seen.groupBy("gid", F.col("u").alias("vid")).agg(F.count(F.lit(1)).alias("k"), *[F.sum((F.col("d") == t).cast("long")).alias(f"k{t}") for t in (1, 2, 3)])
@@ -252,7 +254,7 @@ def triad_census(net: Net) -> DataFrame:
     # triangles: ties lead from lower to higher degree, so few leave any vertex
     low = kinds.select("gid", F.col("vid").alias("u"), F.col("k").alias("ku"))
     high = kinds.select("gid", F.col("vid").alias("v"), F.col("k").alias("kv"))
-    ends = seen.join(low, ["gid", "u"]).join(high, ["gid", "v"]).filter(F.struct("ku", "u") < F.struct("kv", "v"))
+    ends = stored(seen.join(low, ["gid", "u"]).join(high, ["gid", "v"]).filter(F.struct("ku", "u") < F.struct("kv", "v")), "ends")
 
     def tie(a: str, b: str, d: str):
         return ends.select("gid", F.col("u").alias(a), F.col("v").alias(b), F.col("kv").alias(f"k{b}"), F.col("d").alias(d))
