@@ -30,17 +30,26 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows in the jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """``key`` set to ``value`` for the jobs that run inside."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows in the jobs that run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Each job that runs inside deletes its shuffle files when it ends, not when the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,15 +1,15 @@
 """N-gram Jaccard join with rare-first prefix filtering (operator 6).
 
-1. All shingles of all documents are counted into a sketch of fixed size; its counts, then the shingles' hashes, give
-   the order: rare first. Any order is a right one, so counts that share a cell cost time only.
+1. All shingles of all documents are counted into a sketch whose cells grow with the texts; its counts, then the shingles'
+   hashes, give the order: rare first. Any order is a right one, so counts that share a cell cost time only.
 2. Each document leaves the digest and size of its set, a histogram of its hashes and its prefix: the first
    n - ceil(t * n) + 1 shingles in that order. Two sets that reach the threshold t share one of their prefixes.
 3. Equal sets are one node. The nodes' prefix shingles are sorted together and streamed: a shingle of one node alone
    goes, a short list of nodes gives all its pairs, the rows of a long list are kept.
 4. Long lists give a pair of each node with a few leaders of its list: groups of near copies grow together without
    their pairs.
-5. A long list that still holds several groups is not paired up either. Its nodes are compared with one pivot, a node of the
-   list's largest group, and leave what they differ in. Two sets x, y link if and only if they differ in few enough
+5. Of a list that still holds several groups, up to MIDDLE nodes give the pairs across its groups, by the same filters. A longer
+   one is not paired up either. Its nodes are compared with one pivot, a node of the list's largest group, and leave what they differ in. Two sets x, y link if and only if they differ in few enough
    shingles, and how many they differ in follows from how many of their differences from the pivot they share; unless both
    link with the pivot, they must share at least one. So prefix and positional filters hold on differences as they do on sets:
    only nodes that share a prefix of their differences are paired. Copies that were each changed elsewhere never meet.
@@ -25,20 +25,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, free_name, large, mix64, slim_join, stored, tasks, unstore, utf8
+from .common import batches_of, components, free_name, large, mix64, shuffles_dropped, slim_join, stored, tasks, unstore, utf8
 
 WORDS, PERCENT = 5, 80
-#: The sketch's cells (a power of two), cells of a slice, lists that give all pairs, leaders of a list and span of sizes, parts
-#: that a list's rows are dealt into to meet them, histogram cells.
-BITS, SLICE, SHORT, LEADERS, SALTS, HISTOGRAM = 21, 1 << 16, 16, 4, 16, 64
+#: Cells of a slice of the sketch, lists that give all pairs, leaders of a list and span of sizes, parts that a list's rows are
+#: dealt into to meet them, histogram cells.
+SLICE, SHORT, LEADERS, SALTS, HISTOGRAM = 1 << 16, 16, 4, 16, 64
+#: Nodes of a list that give all pairs across the groups that are left.
+MIDDLE = 128
+#: Bits of the sketch's cells: the least, the most (64 MB of ranks), and bytes of text for a cell in between: where a cell counts too
+#: many shingles, frequent ones don't stand out.
+LEAST_BITS, MOST_BITS, CELL_BYTES = 21, 25, 512
+#: Shingles that a task holds before it sends its counts (4 MB).
+HELD = 1 << 20
 #: Shuffle partitions for each task that writes a slim table.
 SLIM = 16
 #: Ranks of the sketch grow by this with each doubling of a cell's count, so that 64 bits of count fit 16 bits of rank.
 STEPS = 1023
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
-#: Bits of the filter that tells which documents' sets are needed.
-FILTER_BITS = 23
+#: Bits of the filter that tells which documents' sets are needed: the least, the most (32 MB), and for a document.
+LEAST_FILTER, MOST_FILTER, FILTER_SHARE = 23, 28, 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -116,44 +123,85 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def bits_for(number: float, least: int, most: int) -> int:
+    """The bits of at least ``number`` cells, within bounds."""
+    return min(most, max(least, int(np.ceil(np.log2(max(1.0, number))))))
+
+
+def gaps(cells: np.ndarray) -> bytes:
+    """Sorted cells, repeated ones too, as bytes: the steps between them, 255 for each 255 that a step has besides."""
+    step = np.diff(cells, prepend=0)
+    more = step // 255
+    at = np.cumsum(more + 1) - 1
+    out = np.full(int(at[-1]) + 1, 255, np.uint8)
+    out[at] = step % 255
+    return out.tobytes()
+
+
+def cells_of(raw: bytes) -> np.ndarray:
+    """What ``gaps`` made bytes of."""
+    step = np.frombuffer(raw, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255]
+
+
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of 2**BITS cells a rank (16 bits) that grows with the shingles counted in it, over all of ``docs`` (text)."""
+    """For each cell a rank (16 bits) that grows with the shingles counted in it, over all of ``docs`` (text); their number, a power
+    of two, grows with the texts."""
+    text = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
+    bits = bits_for(text / CELL_BYTES, LEAST_BITS, MOST_BITS)
+    size, shift = 1 << bits, np.uint64(64 - bits)
+
+    def sent(cells):
+        cells.sort()
+        cut = np.searchsorted(cells, np.arange(0, size + SLICE, SLICE).astype(np.uint32))
+        some = np.flatnonzero(np.diff(cut))
+        raw = [gaps(cells[cut[s] : cut[s + 1]].astype(np.int64) - s * SLICE) for s in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw, pa.binary())], ["slice", "counts"])
 
     def count(batches):
-        cells = np.zeros(1 << BITS, np.int64)
+        held, number = np.empty(HELD, np.uint32), 0
         for batch in batches:
             for _, h in sets(batch.column(0), k):
-                np.add.at(cells, (h >> np.uint64(64 - BITS)).astype(np.int64), 1)
-        for s in range(0, len(cells), SLICE):
-            part = cells[s : s + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // SLICE], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["slice", "counts"])
+                while len(h):
+                    some = h[: HELD - number]
+                    held[number : number + len(some)] = some >> shift
+                    number, h = number + len(some), h[len(some) :]
+                    if number == HELD:
+                        yield sent(held)
+                        number = 0
+        if number:
+            yield sent(held[:number])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<u4").astype(np.int64)
+                part = np.bincount(cells_of(raw), minlength=SLICE)
                 held[s] = held[s] + part if s in held else part
         for s, part in held.items():
             rank = (STEPS * np.log2(1.0 + part)).astype("<u2")
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["slice", "ranks"])
 
-    parts = docs.mapInArrow(count, "slice int, counts binary").repartition(min(tasks(docs.sparkSession), (1 << BITS) // SLICE), "slice").mapInArrow(add, "slice int, ranks binary")
-    out = np.zeros(1 << BITS, np.uint16)
-    for r in parts.collect():  # 2 * 2**BITS bytes, whatever the input
+    parts = docs.mapInArrow(count, "slice int, counts binary").repartition(min(tasks(docs.sparkSession), size // SLICE), "slice").mapInArrow(add, "slice int, ranks binary")
+    out = np.zeros(size, np.uint16)
+    for r in parts.collect():  # 2 bytes a cell, 64 MB at most
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["ranks"], "<u2")
     return out
 
 
+def ranks_of(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The sketch's ranks of shingles."""
+    return rank[(h >> np.uint64(65 - len(rank).bit_length())).astype(np.int64)]
+
+
 def rare_first(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Keys that put shingles in order: 16 bits of rank, then the hash."""
-    return (rank[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    return (ranks_of(rank, h).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
 
 
 def counts(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
     """About how often shingles stand in all sets, by their ranks."""
-    return np.exp2(rank[(h >> np.uint64(64 - BITS)).astype(np.int64)] / STEPS) - 1
+    return np.exp2(ranks_of(rank, h) / STEPS) - 1
 
 
 def signatures(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
@@ -261,20 +309,23 @@ class Links:
         """
         docs, k = self.docs, self.k
         spark = docs.sparkSession
-        # which documents are needed, as a filter of fixed size: others' texts needn't be hashed again
+        # which documents are needed, as a filter of a few bits each: others' texts needn't be hashed again
         wanted = self.nodes.join(needed.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi").filter("doc_id is not null")
-        h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-        words = wanted.select(F.shiftright(h, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 32) as int))").alias("bit"))
-        bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-        for r in words.groupBy("w").agg(F.bit_or("bit").alias("b")).collect():
-            bits[r["w"]] = r["b"]
-        sent = spark.sparkContext.broadcast(bits)
+        wanted = stored(wanted.select("doc_id"), "wanted", SLIM)
+        bits = bits_for(FILTER_SHARE * wanted.count(), LEAST_FILTER, MOST_FILTER)
+        h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+        parts = wanted.select(F.shiftright(h, 15).alias("w"), h.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("w").agg(F.bitmap_construct_agg("bit").alias("b"))
+        have = np.zeros((1 << bits) >> 3, np.uint8)
+        for r in parts.collect():
+            have[r["w"] << 12 : (r["w"] + 1) << 12] = np.frombuffer(r["b"], np.uint8)
+        unstore(wanted)
+        sent = spark.sparkContext.broadcast(have)
 
         def run(batches):
             have, seen = sent.value, set()
             for batch in batches:
                 cell = np.asarray(batch.column(2))
-                use = (have[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1 == 1
+                use = (have[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 use |= np.asarray(batch.column(0).is_null())
                 part = pa.Table.from_batches([batch]).filter(pa.array(use))
                 digest, blob, size = [], [], 0
@@ -385,8 +436,18 @@ def leaders_of(long: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"))
 
 
+def across(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) across the groups of each list of (token, node, n, pos, group) that pass the length and positional filters."""
+    # a node's place may leave too little behind it for a partner of any size
+    some = lists.filter((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100.0)))
+    x, y = (some.select("token", *(F.col(c).alias(to + e) for c, to in (("node", ""), ("n", "n"), ("pos", "pos"), ("group", "g")))) for e in "ab")
+    most = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    return x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & fits).select("a", "b", "na", "nb")
+
+
 def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame | None:
-    """Pairs (a, b, na, nb) that can still link across the groups of long lists (token, node, n, group); None if none is left.
+    """Pairs (a, b, da, db), screened, that can still link across the groups of long lists (token, node, n, pos, group); None if none is left.
 
     Adds the links between nodes and pivots to ``check`` on the way; see step 5 of the module's text. With d(x) the shingles in
     which x differs from the pivot and p for ``percent``, x and y link if and only if they share at least
@@ -395,11 +456,16 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     """
     both, apart = 100 + percent, 100 - percent
     per = long.groupBy("token", "group").agg(F.count(F.lit(1)).alias("c"))
-    open_ = per.groupBy(F.col("token").alias("t")).agg(F.max(F.struct("c", "group")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("t", F.col("m.group").alias("home"))
-    cells = stored(long.join(open_, F.col("token") == F.col("t")).groupBy("node", "home").agg(F.first("group").alias("group"), F.first("n").alias("n")), "cells", SLIM)
+    open_ = per.groupBy(F.col("token").alias("t")).agg(F.max(F.struct("c", "group")).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("nodes")).filter("k > 1")
+    open_ = stored(open_.select("t", F.col("m.group").alias("home"), (F.col("nodes") <= MIDDLE).alias("few")), "open", SLIM)
+    few = stored(long.join(open_.filter("few"), F.col("token") == F.col("t"), "left_semi"), "few", SLIM)
+    found = across(few, percent)
+    cells = stored(long.join(open_.filter("not few"), F.col("token") == F.col("t")).groupBy("node", "home").agg(F.first("group").alias("group"), F.first("n").alias("n")), "cells", SLIM)
     if cells.isEmpty():
-        unstore(cells)
-        return None
+        out = None if few.isEmpty() else check.screen(found)
+        for gone in (open_, few, cells):
+            unstore(gone)
+        return out
     # a group's pivot: its node that stands in most long lists, which tends to be the text that others are copies of
     often = long.groupBy("group", "node").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("group").alias("g")).agg(F.max(F.struct("c", (-F.col("node")).alias("less"))).alias("m")).select("g", (-F.col("m.less")).alias("pivot"))
     digest = check.nodes.select(F.col("node").alias("v"), "digest")
@@ -445,9 +511,9 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     keys = some.groupBy(F.col("pivot").alias("p"), F.col("token").alias("t")).agg(F.min("u").alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").drop("g0", "g1")
     kept = stored(some.join(keys, (F.col("pivot") == F.col("p")) & (F.col("token") == F.col("t")) & (F.col("cap") >= F.col("low"))).drop("p", "t", "low"), "kept", SLIM)
     x, y = (kept.select("pivot", "token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("group").alias(f"g{e}"), F.col("u").alias(f"u{e}"), F.col("cap").alias(f"cap{e}")) for e in "ab")
-    found = x.join(y, ["pivot", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.col("ua") <= F.col("capb")) & (F.col("ub") <= F.col("capa")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    out = check.screen(found.select("a", "b", "na", "nb"))
-    for gone in (cells, named, compared, some, kept):
+    changed = x.join(y, ["pivot", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.col("ua") <= F.col("capb")) & (F.col("ub") <= F.col("capa")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    out = check.screen(found.unionAll(changed.select("a", "b", "na", "nb")))
+    for gone in (open_, few, cells, named, compared, some, kept):
         unstore(gone)
     return out
 
@@ -455,6 +521,11 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
 def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, mark, n, component_id, node, first) of every row of ``docs`` (doc_id, mark, text): ``first`` tells the row, of
     those with the smallest identifier of a component (nulls last), that has the smallest mark; null without shingles."""
+    with shuffles_dropped(docs.sparkSession):
+        return _row_groups(docs, k, percent)
+
+
+def _row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     used: list[DataFrame] = []
 
@@ -484,7 +555,7 @@ def row_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     check.verify(told)
     unstore(told)
     group = check.groups()
-    grouped = long.join(group.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node")).select("token", "node", "n", "group")
+    grouped = long.join(group.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("group", F.coalesce("group", "node")).select("token", "node", "n", "pos", "group")
     grouped = keep(grouped, "grouped", share=4)
     unstore(group)
     told = differing(grouped, check, ranks, percent)

@@ -1,7 +1,9 @@
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import text_brute as brute
 from pyspark.sql import functions as F
@@ -177,6 +179,93 @@ def test_jaccard_pairs_of_a_large_group_stay_few(spark, monkeypatch):
     assert sum(made) < 20 * len(rows)
 
 
+@pytest.mark.parametrize(("middle", "seed"), [(0, 9), (8, 10)])
+def test_jaccard_with_and_without_pivots(spark, monkeypatch, middle, seed):
+    rows, frame = near_docs(spark, seed)
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "MIDDLE", middle)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(frame).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
+def shared_passages(texts=60, of=10, taken=6, words=40, seed=5):
+    """Texts of the same few passages in orders of their own: all their lists are long, few of them are near another."""
+    rng = np.random.default_rng(seed)
+    passages = [" ".join(f"p{i}w{j}" for j in range(words)) for i in range(of)]
+    return [(i, " ".join(passages[k] for k in rng.choice(of, taken, replace=False))) for i in range(texts)]
+
+
+def test_jaccard_of_shared_passages_writes_little(spark, monkeypatch):
+    rows, written, plain = shared_passages(), defaultdict(int), jaccard.stored
+
+    def counted(df, tag, share=1):
+        out = plain(df, tag, share)
+        written[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert written["differences"] < 10 * len(rows)  # not what each text differs in from one that is not near
+
+
+def test_jaccard_leaves_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
+
+    rows, frame = near_docs(spark, 11)
+    before = files()
+    jaccard.jaccard_groups(frame)
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
+def test_sketch_grows_with_the_texts(spark, monkeypatch):
+    rows, frame = near_docs(spark, 12)
+    texts = frame.select("text")
+    monkeypatch.setattr(jaccard, "LEAST_BITS", 16)
+    few = jaccard.count_sketch(texts, 5)
+    monkeypatch.setattr(jaccard, "CELL_BYTES", 0.01)
+    monkeypatch.setattr(jaccard, "HELD", 500)
+    many = jaccard.count_sketch(texts, 5)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert len(few) == 1 << 16 and len(many) == 1 << int(np.ceil(np.log2(size / 0.01)))
+    true = defaultdict(int)
+    for _, h in jaccard.sets(pa.array([t for _, t in rows], pa.string())):
+        for x in h:
+            true[int(x)] += 1
+    h = np.array(list(true), np.uint64)
+    for rank in (few, many):
+        cells = np.bincount((h >> np.uint64(65 - len(rank).bit_length())).astype(np.int64), list(true.values()), len(rank))
+        assert (rank == (jaccard.STEPS * np.log2(1.0 + cells)).astype(np.uint16)).all()
+
+
+def test_gaps_of_cells():
+    rng = np.random.default_rng(0)
+    for cells in ([0], [65535], [255, 510, 511], [7] * 1000 + [9], rng.integers(0, 65536, 500), rng.integers(0, 300, 5000)):
+        cells = np.sort(np.asarray(cells, np.int64))
+        assert (jaccard.cells_of(jaccard.gaps(cells)) == cells).all()
+
+
+def test_filter_of_needed_sets_grows(spark, monkeypatch):
+    rows = [(i, f"text {i} of its own with words {i * 7} and {i * 11} so that no other is near it") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = docs.selectExpr("doc_id as node", "doc_id")
+    monkeypatch.setattr(jaccard, "LEAST_FILTER", 15)
+    held = []
+    for share in (1000, 10):
+        check = jaccard.Links(nodes, docs, 5, 80)
+        check.hold(nodes.filter(f"node < {share}").select("node"))
+        held.append(check.sets.count())
+        check.forget()
+    assert 1000 <= held[0] < 1250 and 10 <= held[1] < 20
+
+
 def test_distinct_documents_with_repeated_identifiers(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     rows = [(1, a), (1, b), (2, a), (1, a), (None, b), (None, "alone in the whole wide world"), (3, None), (3, None)]
