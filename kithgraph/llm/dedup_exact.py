@@ -74,7 +74,8 @@ def stream_best(spark: SparkSession, folder: str, files_per_trigger: int) -> Dat
     rocks = "spark.sql.streaming.stateStore.rocksdb."
     # an executor's stores share one bounded memory, whatever the number of partitions; what exceeds it is on disk
     bounds = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "128", "writeBufferSizeMB": "4", "changelogCheckpointing.enabled": "true", "allowFAllocate": "false"}
-    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE} | {rocks + k: v for k, v in bounds.items()}
+    # a store is closed when its task has committed, so an executor holds as many as it runs tasks, not one for each partition it has had
+    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.unloadOnCommit": "true"} | {rocks + k: v for k, v in bounds.items()}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)

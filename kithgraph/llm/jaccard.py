@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, free_name, large, mix64, shuffles_dropped, slim_join, stored, tasks, unstore, utf8
+from .common import batches_of, components, free_name, large, lean, mix64, shuffles_dropped, slim_join, stored, tasks, unstore, utf8
 
 WORDS, PERCENT = 5, 80
 #: Cells of a slice of the sketch, lists that give all pairs, leaders of a list and span of sizes, parts that a list's rows are
@@ -158,6 +158,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
         raw = [gaps(cells[cut[s] : cut[s + 1]].astype(np.int64) - s * SLICE) for s in some]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw, pa.binary())], ["slice", "counts"])
 
+    @lean
     def count(batches):
         held, number = np.empty(HELD, np.uint32), 0
         for batch in batches:
@@ -172,6 +173,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
         if number:
             yield sent(held[:number])
 
+    @lean
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -207,6 +209,7 @@ def counts(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
     """Per row of ``docs`` (doc_id, mark, text): doc_id, mark, n, digest, histogram, prefix."""
 
+    @lean
     def run(batches):
         rank = ranks.value
         for batch in batches:
@@ -243,6 +246,7 @@ def postings(sorted_rows: DataFrame, percent: int) -> DataFrame:
             [pa.array(token), pa.array(a), pa.nulls(len(a), pa.int64()) if none else pa.array(b), pa.array(na), pa.nulls(len(a), pa.int32()) if none else pa.array(nb), pa.array(pos)], names
         )
 
+    @lean
     def run(batches):
         held, streaming = None, None
         for batch in batches:
@@ -321,6 +325,7 @@ class Links:
         unstore(wanted)
         sent = spark.sparkContext.broadcast(have)
 
+        @lean
         def run(batches):
             have, seen = sent.value, set()
             for batch in batches:
@@ -350,6 +355,7 @@ class Links:
         percent = self.percent
         pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
 
+        @lean
         def suffix(batches):
             for batch in batches:
                 ha, hb = (batch.column(i).to_pylist() for i in (6, 7))
@@ -377,6 +383,7 @@ class Links:
         """Adds the links among the screened pairs ``told``."""
         percent = self.percent
 
+        @lean
         def whole(batches):
             for batch in batches:
                 a, b, keep = batch.column(2), batch.column(3), []
@@ -473,6 +480,7 @@ def differing(long: DataFrame, check: Links, ranks, percent: int) -> DataFrame |
     named = named.join(digest.withColumnRenamed("digest", "da"), F.col("node") == F.col("v")).drop("v")
     named = stored(named.join(digest.withColumnRenamed("digest", "db"), F.col("pivot") == F.col("v")).drop("v"), "named", SLIM)
 
+    @lean
     def compare(batches):
         rank = ranks.value
         for batch in batches:

@@ -7,6 +7,7 @@ the longest order of which any n-gram is known scores the word, shorter orders a
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codepoints, large, mix64, small_batches, stored, tasks, unstore
+from .common import codepoints, large, lean, mix64, small_batches, stored, tasks, unstore
 
 #: Documents of a language that are fitted on, about; known words of a language; longest n-gram; smoothing.
 FIT_DOCS, FIT_WORDS, ORDER, ALPHA = 2000, 30_000, 5, 0.5
@@ -164,18 +165,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
-    held: dict = {}
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def classify(texts):
-        import pandas as pd
-
-        if "model" not in held:
-            held["model"] = pickle.loads(sent.value)
-        langs, score = held["model"].predict(large(pa.array(texts, pa.string(), from_pandas=True)))
-        return pd.DataFrame({"lang_pred": langs, "score": score})
+    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = pickle.loads(sent.value)  # a task's own, gone when it ends
+        for part in texts:
+            langs, score = model.predict(large(part))
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
+    # texts stay in Arrow's buffers: no pandas in the workers, no Python string for each text
+    told = F.arrow_udf(lean(classify), "struct<lang_pred:string,score:double>")
     if keep:
-        return docs.withColumn(keep, classify(F.col(text_col).cast("string")))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), classify(F.col(text_col).cast("string")).alias("r"))
+        return docs.withColumn(keep, told(F.col(text_col).cast("string")))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), told(F.col(text_col).cast("string")).alias("r"))
     return out.select("doc_id", "r.lang_pred", "r.score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored, tasks
+from .common import batches_of, lean, stored, tasks
 from .token_counts import tokenizer
 
 CAPACITY, END_ID = 1024, 2
@@ -82,6 +82,7 @@ def _tiktoken(path: str):
 def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
+    @lean
     def run(batches):
         encode = Encoder(path)
         for batch in batches:
@@ -269,6 +270,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     ranked = salted.withColumn("own", own).join(starts.drop("n"), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("ahead")).alias("rank"))
 
+    @lean
     def place(batches):
         s = table.value
         # one ascending key of (length, first): ranks stay below 2**52

@@ -8,7 +8,7 @@ import pytest
 import text_brute as brute
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chat, dedup_exact, jaccard, language, mixing, packing, queries, token_counts, toxicity
+from kithgraph.llm import chat, common, dedup_exact, jaccard, language, mixing, packing, queries, token_counts, toxicity
 from kithgraph.llm.common import components
 
 
@@ -80,6 +80,30 @@ def test_several_triggers_agree_with_one(docs):
     assert many.exceptAll(dedup_exact.exact_groups(docs).drop("locator")).isEmpty()
 
 
+def loaded_stores(spark) -> int:
+    kind = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    (held,) = (f for f in kind.getDeclaredFields() if f.getName().endswith("loadedProviders"))
+    held.setAccessible(True)
+    return held.get(kind.getField("MODULE$").get(None)).size()
+
+
+def test_state_stores_close_with_their_tasks(spark, docs):
+    before = loaded_stores(spark)
+    assert dedup_exact.exact_groups(docs).count() == docs.count()
+    assert loaded_stores(spark) <= before
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    ends = []
+    monkeypatch.setattr(common, "give_back", lambda: ends.append(1))
+    run = common.lean(lambda batches: (x + 1 for x in batches))
+    assert list(run([1, 2])) == [2, 3] and ends == [1]
+    part = run([1, 2])  # a limit above ends a task early
+    next(part)
+    part.close()
+    assert ends == [1, 1]
+
+
 def test_state_outlives_a_run(spark, docs, tmp_path):
     halves = [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1").repartition(3).unionAll(docs.filter("doc_id = 1"))]
     state, columns = f"file://{tmp_path}/state", ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
