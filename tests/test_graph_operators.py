@@ -284,3 +284,15 @@ def test_evcent_beyond_dense(spark, monkeypatch):
     assert np.allclose(sorted(r["score"] for r in spectral.evcent(whole, tol=1e-2).collect()), [0] + [3**-0.5] * 3, atol=1e-2)
     with pytest.raises(RuntimeError):
         spectral._power_iteration(path, path.arcs(), 1e-10, most=2)
+
+
+def test_geodist_sends_no_pairs_to_the_driver(spark, monkeypatch):
+    net = Net.of(spark, 4, [(1, 2), (2, 3), (1, 4), (4, 3)])
+    expect = [(1, 1, 0, 1), (1, 2, 1, 1), (1, 3, 2, 2), (1, 4, 1, 1), (2, 1, -1, 0), (2, 2, 0, 1), (2, 3, 1, 1), (2, 4, -1, 0), (3, 1, -1, 0), (3, 2, -1, 0), (3, 3, 0, 1), (3, 4, -1, 0), (4, 1, -1, 0), (4, 2, -1, 0), (4, 3, 1, 1), (4, 4, 0, 1)]
+    got = paths.geodist(net, -1.0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == expect
+    monkeypatch.setattr("kithgraph.net.SMALL_TIES", 0)
+    got = paths.geodist(net, -1.0)
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # the vertices alone
+    assert sorted(map(tuple, got.collect())) == expect
