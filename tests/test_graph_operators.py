@@ -296,3 +296,35 @@ def test_geodist_sends_no_pairs_to_the_driver(spark, monkeypatch):
     got = paths.geodist(net, -1.0)
     assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # the vertices alone
     assert sorted(map(tuple, got.collect())) == expect
+
+
+def test_many_searches_at_once():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 150):
+        for p in (0.01, 0.05, 0.5):
+            a = brute.random_graph(rng, n, p, True)
+            adj = paths.Adjacency(np.zeros(n, np.int64), np.arange(n), np.zeros(int(a.sum()), np.int64), *np.nonzero(a))
+            adj.backward()
+            got = np.full((n, n), math.inf)
+            np.fill_diagonal(got, 0)
+
+            def level(step, rows, new, got=got):
+                j, i = np.nonzero(np.unpackbits(new.view(np.uint8), axis=1, bitorder="little"))
+                got[i, rows[j]] = step
+
+            adj.search_many(np.arange(n), 0, n, level)
+            assert (got == brute.bfs(a)[0]).all()
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_hierarchy_lists_no_pairs(spark, monkeypatch, directed):
+    monkeypatch.setattr(paths, "distances", None)
+    rng = np.random.default_rng(9)
+    graphs = {g: brute.random_graph(rng, n, 1.3 / n, directed) for g, n in enumerate((2, 9, 30, 140))}
+    ties = [(g, int(i), int(j)) for g, a in graphs.items() for i, j in zip(*np.nonzero(a), strict=True)]
+    net = Net.build(spark.createDataFrame(ties, "gid long, src long, dst long"), spark.createDataFrame([(g, v) for g, a in graphs.items() for v in range(len(a))], "gid long, vid long"), directed, many=True)
+    got = {r["gid"]: r["hierarchy"] for r in paths.hierarchy(net, "krackhardt").collect()}
+    for g, a in graphs.items():
+        r = np.isfinite(brute.bfs(a)[0])
+        one, any_ = int((r != r.T).sum()) // 2, int(np.triu(r | r.T, 1).sum())
+        assert same(got[g], one / any_ if any_ else math.nan)
