@@ -328,3 +328,13 @@ def test_hierarchy_lists_no_pairs(spark, monkeypatch, directed):
         r = np.isfinite(brute.bfs(a)[0])
         one, any_ = int((r != r.T).sum()) // 2, int(np.triu(r | r.T, 1).sum())
         assert same(got[g], one / any_ if any_ else math.nan)
+
+
+def test_reachability_takes_little_room(spark, tmp_path):
+    net = Net.of(spark, 1510, [(v, v % 1500 + 1) for v in range(1, 1501)])
+    got = paths.reachability(net)
+    got.write.parquet(str(tmp_path / "pairs"))
+    again = spark.read.parquet(str(tmp_path / "pairs"))
+    assert again.count() == again.distinct().count() == 1500 * 1500 + 10
+    assert again.filter("i > 1500 and i <> j or j > 1500 and i <> j").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 1500 * 1500
