@@ -338,3 +338,12 @@ def test_reachability_takes_little_room(spark, tmp_path):
     assert again.count() == again.distinct().count() == 1500 * 1500 + 10
     assert again.filter("i > 1500 and i <> j or j > 1500 and i <> j").isEmpty()
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 1500 * 1500
+
+
+def test_mean_distance_and_diameter_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(paths, "distances", None)
+    ring = Net.of(spark, 200, [(v, v % 200 + 1) for v in range(1, 201)])
+    assert paths.average_path_length(ring).first()[0] == 100
+    assert paths.diameter(ring).first()[0] == 199
+    assert paths.average_path_length(Net.of(spark, 3, [])).first()[0] == math.inf
+    assert paths.diameter(Net.of(spark, 3, [(1, 2)])).first()[0] == math.inf
