@@ -347,3 +347,16 @@ def test_mean_distance_and_diameter_list_no_pairs(spark, monkeypatch):
     assert paths.diameter(ring).first()[0] == 199
     assert paths.average_path_length(Net.of(spark, 3, [])).first()[0] == math.inf
     assert paths.diameter(Net.of(spark, 3, [(1, 2)])).first()[0] == math.inf
+
+
+def test_betweenness_of_folded_sources():
+    rng = np.random.default_rng(10)
+    for k in range(200):
+        n = int(rng.integers(1, 11))
+        a = brute.random_graph(rng, n, rng.choice([0.05, 0.1, 0.2, 0.4]), k % 3 > 0)
+        adj = paths.Adjacency(np.zeros(n, np.int64), np.arange(n), np.zeros(int(a.sum()), np.int64), *np.nonzero(a))
+        adj.fold()
+        total = np.zeros(n)
+        for root in adj.roots:
+            adj.depend(int(root), 0, n, total)
+        assert np.allclose(total, brute.betweenness(a))
