@@ -360,3 +360,20 @@ def test_betweenness_of_folded_sources():
         for root in adj.roots:
             adj.depend(int(root), 0, n, total)
         assert np.allclose(total, brute.betweenness(a))
+
+
+def test_cores_of_many_ties_take_one_task(spark, monkeypatch):
+    monkeypatch.setattr("kithgraph.net.SMALL_TIES", 50)
+    monkeypatch.setattr(cohesion, "stored", None)  # no rounds of joins
+    rng = np.random.default_rng(11)
+    for directed, cmode in ((True, "freeman"), (True, "indegree"), (True, "outdegree"), (False, "freeman")):
+        a = brute.random_graph(rng, 60, 0.08, directed)
+        net = Net.of(spark, 60, [(i + 1, j + 1) for i, j in zip(*np.nonzero(a), strict=True)], directed)
+        near = a + a.T if directed and cmode == "freeman" else a.T if cmode == "indegree" else a
+        core, left, level = {}, set(range(60)), 0
+        while left:
+            degree = {v: near[v, list(left)].sum() for v in left}
+            v = min(left, key=degree.get)
+            core[v + 1] = level = max(level, degree[v])
+            left.remove(v)
+        assert {r["vid"]: r["core"] for r in cohesion.kcores(net, cmode).collect()} == core
